@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayline.llm import op10_quality
+from wayline.llm import op05_substring, op09_urls, op10_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_substring_dedup": op05_substring.query,
+    "op9_url_filters": op09_urls.query,
     "op10_quality_rules": op10_quality.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_url_filters": op09_urls.ORACLE}

@@ -60,6 +60,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of df: for a scan, the size of its files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+def text_bytes(docs: DataFrame) -> int:
+    """About the bytes of docs: of its files where it is a bare scan, else of its texts, from one pass."""
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    if plan.children().isEmpty() and plan.nodeName() == "LogicalRelation":
+        return int(plan.stats().sizeInBytes().longValue())
+    return int(docs.select(F.sum(F.octet_length(F.col("text").cast("string")))).head()[0] or 0) * 6 // 10
