@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -54,15 +55,31 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder and read from there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared checkpoint folder: a later failure recomputes nothing before it.
+
+    The table goes when the session ends, or with dropped().
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that written() made and no later step reads."""
+    for t in tables:
+        hadoop = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(t._written)
+        hadoop.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def text_bytes(docs: DataFrame) -> int:
     """About the bytes of docs: of its files where it is a bare scan, else of its texts, from one pass."""
     plan = docs._jdf.queryExecution().optimizedPlan()
     if plan.children().isEmpty() and plan.nodeName() == "LogicalRelation":
-        return int(plan.stats().sizeInBytes().longValue())
+        return int(str(plan.stats().sizeInBytes()))
     return int(docs.select(F.sum(F.octet_length(F.col("text").cast("string")))).head()[0] or 0) * 6 // 10
