@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayline.llm import op05_substring, op07_minhash, op09_urls, op10_quality
+from wayline.llm import op05_substring, op07_minhash, op08_bpe, op09_urls, op10_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_substring_dedup": op05_substring.query,
     "op7_minhash_near_dedup": op07_minhash.query,
+    "op8_bpe_round_trip": op08_bpe.query,
     "op9_url_filters": op09_urls.query,
     "op10_quality_rules": op10_quality.query,
 }
