@@ -179,14 +179,14 @@ def codec(path: str) -> Codec:
 def encoded(docs: DataFrame, path: str, name: str = "token_ids") -> DataFrame:
     """docs without its text, and the ids of the text as an array of integers."""
     keep = [c for c in docs.columns if c not in ("text", name)]
-    at = docs.columns.index("text")
+    at, places = docs.columns.index("text"), {k: docs.columns.index(k) for k in keep}
 
     def make(b: pa.RecordBatch) -> dict:
         c = codec(path)
         ids = [c.encode(t or "") for t in b.column(at).to_pylist()]
         cut = np.append(0, np.cumsum([len(x) // 4 for x in ids])).astype(np.int32)
         values = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
-        return {k: b.column(docs.columns.index(k)) for k in keep} | {name: pa.ListArray.from_arrays(pa.array(cut), values)}
+        return {k: b.column(i) for k, i in places.items()} | {name: pa.ListArray.from_arrays(pa.array(cut), values)}
 
     schema = docs.select(*keep).schema.add(name, T.ArrayType(T.IntegerType()))
 
