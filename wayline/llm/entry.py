@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayline.llm import op03_pii, op05_substring, op07_minhash, op08_bpe, op09_urls, op10_quality
+from wayline.llm import op02_html, op03_pii, op05_substring, op07_minhash, op08_bpe, op09_urls, op10_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_html_extraction": op02_html.query,
     "op3_pii_spans": op03_pii.query,
     "op5_substring_dedup": op05_substring.query,
     "op7_minhash_near_dedup": op07_minhash.query,
