@@ -1,18 +1,19 @@
 """Benchmark decontamination: a BM25 inverted index of test items, searched with block-max WAND.
 
 Items are the indexed side, training passages the queries. Every document is cut
-into passages of PASSAGE words that start every STEP words, the last one at its
-end, so all words are searched. Impacts are stored relative to the item's own
+into passages of PASSAGE words that start every STEP words, so all words are searched. Impacts are stored relative to the item's own
 threshold: SHARE of its score against itself, less for items longer than a
 passage. A passage retrieves every item whose relative score is 1 or more.
 
-For a block of passages the sum of the words' list bounds, taken at once for all
-of them, skips those that no item can reach. The rest go through WAND: cursors
+The commonest terms of an item are light: together they reach at most LIGHT of
+its threshold, so a passage must hold the rest in heavier terms of that item.
+This bound is taken at once for all passages of a slice, from the heavy postings
+of their words; what it leaves goes through WAND: cursors
 over postings in order of item, a pivot by list bounds, a second look by block
 bounds, then the exact score. A retrieved pair is verified on the words about the
 passage: enough of the item's question shingles and enough of its answer words
-must be there. An item's answer is its last sentence, or the last quarter of its
-words where it has one sentence.
+must be there. An item's answer is its last sentence (of three words or more, else
+with those before it), or the last quarter of its words where it has one sentence.
 
 The index holds at most SHARD_BYTES of item text; a larger benchmark is indexed
 in shards, one pass over the documents each, with document frequencies of the
@@ -24,6 +25,7 @@ doc_id or item_id gives no pair.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,13 +34,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayline.llm import frames
-from wayline.llm.words import Words, slices
+from wayline.llm.words import LOWER, Words, slices
 
 PASSAGE, STEP, BLOCK = 64, 32, 16
-K1, B, SHARE = 1.2, 0.75, 0.5
+K1, B, SHARE, LIGHT = 1.2, 0.75, 0.5, 0.6
 #: Shares of an item's question shingles (of SHINGLE words) and answer words to be found.
 QUESTION, ANSWER, SHINGLE = 0.7, 0.7, 3
 SHARD_BYTES = 8 << 20
+#: Words are compared in lower case (A-Z) and without ASCII signs, which are read as spaces.
+FOLD = LOWER.copy()
+FOLD[[b for b in range(0x21, 0x7F) if not chr(b).isalnum()]] = 0x20
 
 SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
@@ -51,9 +56,11 @@ class Index:
         self.lengths: list[int] = []
         self.question: list[np.ndarray] = []
         self.answer: list[np.ndarray] = []
+        self.need: list[float] = []
         lists: dict[int, list[tuple[int, float]]] = {}
+        heavy: list[tuple[int, int, float]] = []
         for item, text in sorted(items):
-            w = next(slices(pa.array([text]), lower=True))[2]
+            w = next(slices(pa.array([text]), fold=FOLD))[2]
             h, n = w.hashes, len(w.hashes)
             if not n:
                 continue
@@ -62,17 +69,28 @@ class Index:
             df = np.array([frequency.get(int(t), 1) for t in terms.tolist()])
             impact = np.log(1 + (total - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / average))
             least = SHARE * impact.sum() * min(1.0, 0.75 * PASSAGE / n)
-            for t, x in zip(terms.tolist(), (impact / least).tolist()):
+            impact = impact / least
+            for t, x in zip(terms.tolist(), impact.tolist()):
                 lists.setdefault(t, []).append((k, x))
+            common = np.argsort(-df, kind="stable")
+            light = np.cumsum(impact[common]) <= LIGHT
+            self.need.append(1 - float(impact[common][light].sum()))
+            heavy += [(t, k, x) for t, x in zip(terms[common][~light].tolist(), impact[common][~light].tolist())]
             self.ids.append(item)
             self.lengths.append(n)
-            cut = _answer_start(w)
+            cut = _answer_start(text, n)
             self.question.append(np.unique(_shingles(h[:cut])))
             self.answer.append(np.unique(h[cut:]))
         self.terms = np.array(sorted(lists), np.uint64)
         self.postings = [lists[int(t)] for t in self.terms.tolist()]
         self.bound = np.array([max(x for _, x in p) for p in self.postings])
         self.blocks = [[max(x for _, x in p[i : i + BLOCK]) for i in range(0, len(p), BLOCK)] for p in self.postings]
+        number = {int(t): k for k, t in enumerate(self.terms.tolist())}
+        heavy = sorted((number[t], k, x) for t, k, x in heavy)
+        self.heavy_item = np.array([k for _, k, _ in heavy], np.int64)
+        self.heavy_impact = np.array([x for *_, x in heavy])
+        self.heavy_cut = np.searchsorted(np.array([t for t, *_ in heavy]), np.arange(len(self.terms) + 1))
+        self.least = np.array(self.need)
         self.seen = np.zeros(1 << 16, bool)
         self.seen[(self.terms & np.uint64(0xFFFF)).astype(np.int64)] = True
 
@@ -86,6 +104,27 @@ class Index:
             out[maybe[hit]] = at[hit]
         return out
 
+    def hopeful(self, term: np.ndarray, cell: np.ndarray, cells: int) -> np.ndarray:
+        """Cells of words at which a passage (the cell and the next) may reach an item; term: each word's list, or -1."""
+        known = np.flatnonzero(term >= 0)
+        count = self.heavy_cut[term[known] + 1] - self.heavy_cut[term[known]]
+        total = int(count.sum())
+        out = np.zeros(cells + 1, bool)
+        if not total:
+            return out[:cells]
+        at = np.repeat(self.heavy_cut[term[known]] - (np.cumsum(count) - count), count) + np.arange(total)
+        n = len(self.ids)
+        key, place = np.unique(np.repeat(cell[known], count) * n + self.heavy_item[at], return_inverse=True)
+        mass = np.bincount(place, self.heavy_impact[at])
+        need = self.least[key % n] - 1e-9
+        own = key[mass >= need] // n
+        out[own] = True
+        out[np.maximum(own - 1, 0)] = True
+        following = np.minimum(np.searchsorted(key, key + n), len(key) - 1)
+        both = mass + np.where(key[following] == key + n, mass[following], 0.0)
+        out[key[both >= need] // n] = True
+        return out[:cells]
+
     def search(self, terms: list[int]) -> list[tuple[int, float]]:
         """(item, relative score) of all items that the distinct terms score 1 or more."""
         end = len(self.ids)
@@ -159,42 +198,38 @@ def _shingles(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def _answer_start(w: Words) -> int:
-    """The first word of the last sentence, or of the last quarter if there is but one sentence."""
-    n = len(w.starts)
-    ends = [k + 1 for k in range(n - 1) if w.word(k)[-1:] in (b".", b"!", b"?", b":")]
-    return ends[-1] if ends else max(1, n - max(1, n // 4)) if n > 1 else 0
+def _answer_start(text: str, n: int) -> int:
+    """The first of n words that is in the answer: the last sentences that have three words or more, or the last quarter."""
+    for m in reversed(list(re.finditer(r"[.!?:]\s", text))):
+        before = len(next(slices(pa.array([text[: m.end()]]), fold=FOLD))[2].starts)
+        if n - before >= 3 and before:
+            return before
+    return max(1, n - max(1, n // 4)) if n > 1 else 0
 
 
-def passages(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """First and past-last words of all passages of the texts."""
-    starts, stops = [], []
-    for k in np.flatnonzero(w.n).tolist():
-        a, b = int(w.first[k]), int(w.first[k + 1])
-        s = np.arange(a, max(a + 1, b - PASSAGE + STEP), STEP)
-        s = np.minimum(s, max(a, b - PASSAGE))
-        starts.append(s)
-        stops.append(np.minimum(s + PASSAGE, b))
-    return (np.concatenate(starts), np.concatenate(stops)) if starts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+def cells(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The cell of STEP words that each word is in, counted over all texts, and the text of each cell."""
+    per_text = -(-w.n // STEP)
+    first = np.cumsum(per_text) - per_text
+    inside = np.arange(len(w.starts)) - np.repeat(w.first[:-1], w.n)
+    return np.repeat(first, w.n) + inside // STEP, np.repeat(np.arange(len(w.n)), per_text)
 
 
 def _matches(index: Index, texts: pa.Array) -> Iterator[tuple[int, int, float, float, float]]:
     """(text, item, score, question overlap, answer overlap) of verified pairs, the best score of each."""
-    for base, _, w in slices(texts, lower=True):
+    for base, _, w in slices(texts, fold=FOLD):
         term = index.term(w.hashes)
-        bound = np.zeros(len(term) + 1)
-        np.cumsum(np.where(term >= 0, index.bound[term] if len(index.bound) else 0.0, 0.0), out=bound[1:])
-        a, b = passages(w)
+        cell, text_of = cells(w)
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
-        for k in np.flatnonzero(bound[b] - bound[a] >= 1 - 1e-6).tolist():
-            own = np.unique(term[a[k] : b[k]])
+        for c in np.flatnonzero(index.hopeful(term, cell, len(text_of))).tolist():
+            text = int(text_of[c])
+            a = int(np.searchsorted(cell, c))
+            b = min(a + PASSAGE, int(w.first[text + 1]))
+            own = np.unique(term[a:b])
             own = own[own >= 0]
-            if index.bound[own].sum() < 1 - 1e-9:
-                continue
-            text = int(np.searchsorted(w.first, a[k], "right")) - 1
             for item, score in index.search(own.tolist()):
                 reach = index.lengths[item]
-                low, high = max(int(w.first[text]), int(a[k]) - reach), min(int(w.first[text + 1]), int(b[k]) + reach)
+                low, high = max(int(w.first[text]), a - reach), min(int(w.first[text + 1]), b + reach)
                 q, x = index.verify(item, w.hashes[low:high])
                 if q >= QUESTION and x >= ANSWER and (score, q, x) > best.get((text, item), (0.0, 0.0, 0.0)):
                     best[text, item] = score, q, x
@@ -210,7 +245,7 @@ def _indices(items: DataFrame) -> list[Index]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, w in slices(batch.column(1), lower=True):
+            for _, _, w in slices(batch.column(1), fold=FOLD):
                 for k in range(len(w.n)):
                     h = w.hashes[w.first[k] : w.first[k + 1]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.append(np.unique(h), 0).view(np.int64)), pa.array(np.append(np.zeros(len(np.unique(h)), np.int64), len(h)))], names=["term", "words"])
