@@ -8,7 +8,7 @@ from wayline.llm.words import slices
 
 
 def make_index(texts):
-    words = [next(slices(pa.array([t]), fold=bm.FOLD))[2].hashes for t in texts]
+    words = [next(slices(pa.array([t]), fold=bm.fold))[2].hashes for t in texts]
     df = {}
     for h in words:
         for t in set(h.tolist()):
@@ -27,7 +27,7 @@ def test_search_against_scores_of_all_items():
     some = 0
     for k in range(300):
         q = sentence(r, 50) if k % 2 else texts[k // 2] + " " + sentence(r, 10)
-        own = np.unique(index.term(next(slices(pa.array([q]), fold=bm.FOLD))[2].hashes))
+        own = np.unique(index.term(next(slices(pa.array([q]), fold=bm.fold))[2].hashes))
         own = own[own >= 0].tolist()
         scores = {}
         for t in own:

@@ -11,8 +11,8 @@ This bound is taken at once for all passages of a slice, from the heavy postings
 of their words; what it leaves goes through WAND: cursors
 over postings in order of item, a pivot by list bounds, a second look by block
 bounds, then the exact score. A retrieved pair is verified on the words about the
-passage: enough of the item's question shingles and enough of its answer words
-must be there. An item's answer is its last sentence (of three words or more, else
+passage: enough of the item's question shingles and enough of its answer's must
+be there. An item's answer is its last sentence (of three words or more, else
 with those before it), or the last quarter of its words where it has one sentence.
 
 The index holds at most SHARD_BYTES of item text; a larger benchmark is indexed
@@ -38,12 +38,21 @@ from wayline.llm.words import LOWER, Words, slices
 
 PASSAGE, STEP, BLOCK = 64, 32, 16
 K1, B, SHARE, LIGHT = 1.2, 0.75, 0.5, 0.6
-#: Shares of an item's question shingles (of SHINGLE words) and answer words to be found.
-QUESTION, ANSWER, SHINGLE = 0.7, 0.7, 3
+#: Shares of an item's question and answer shingles (of SHINGLE words; a shorter answer's words) to be found.
+QUESTION, ANSWER, SHINGLE = 0.7, 0.6, 3
 SHARD_BYTES = 8 << 20
-#: Words are compared in lower case (A-Z) and without ASCII signs, which are read as spaces.
-FOLD = LOWER.copy()
-FOLD[[b for b in range(0x21, 0x7F) if not chr(b).isalnum()]] = 0x20
+_PLAIN = LOWER.copy()
+_PLAIN[[b for b in range(0x21, 0x7F) if not chr(b).isalnum()]] = 0x20
+
+
+def fold(data: np.ndarray) -> np.ndarray:
+    """Letters of ASCII and Latin-1 in lower case, ASCII signs as spaces: so words are compared."""
+    out = _PLAIN[data]
+    if len(data) > 1:
+        second = data[1:]
+        out[1:][(data[:-1] == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97)] += 0x20
+    return out
+
 
 SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
@@ -60,7 +69,7 @@ class Index:
         lists: dict[int, list[tuple[int, float]]] = {}
         heavy: list[tuple[int, int, float]] = []
         for item, text in sorted(items):
-            w = next(slices(pa.array([text]), fold=FOLD))[2]
+            w = next(slices(pa.array([text]), fold=fold))[2]
             h, n = w.hashes, len(w.hashes)
             if not n:
                 continue
@@ -80,7 +89,7 @@ class Index:
             self.lengths.append(n)
             cut = _answer_start(text, n)
             self.question.append(np.unique(_shingles(h[:cut])))
-            self.answer.append(np.unique(h[cut:]))
+            self.answer.append(np.unique(_shingles(h[cut:]) if n - cut >= SHINGLE else h[cut:]))
         self.terms = np.array(sorted(lists), np.uint64)
         self.postings = [lists[int(t)] for t in self.terms.tolist()]
         self.bound = np.array([max(x for _, x in p) for p in self.postings])
@@ -186,7 +195,8 @@ class Index:
         """Shares of the item's question shingles and answer words among the words h."""
         q, a = self.question[item], self.answer[item]
         share = lambda x, of: float(np.isin(x, of).mean()) if len(x) else 1.0
-        return share(q, _shingles(h)), share(a, h)
+        either = np.concatenate([_shingles(h), h])
+        return share(q, either), share(a, either)
 
 
 def _shingles(h: np.ndarray) -> np.ndarray:
@@ -201,7 +211,7 @@ def _shingles(h: np.ndarray) -> np.ndarray:
 def _answer_start(text: str, n: int) -> int:
     """The first of n words that is in the answer: the last sentences that have three words or more, or the last quarter."""
     for m in reversed(list(re.finditer(r"[.!?:]\s", text))):
-        before = len(next(slices(pa.array([text[: m.end()]]), fold=FOLD))[2].starts)
+        before = len(next(slices(pa.array([text[: m.end()]]), fold=fold))[2].starts)
         if n - before >= 3 and before:
             return before
     return max(1, n - max(1, n // 4)) if n > 1 else 0
@@ -217,7 +227,7 @@ def cells(w: Words) -> tuple[np.ndarray, np.ndarray]:
 
 def _matches(index: Index, texts: pa.Array) -> Iterator[tuple[int, int, float, float, float]]:
     """(text, item, score, question overlap, answer overlap) of verified pairs, the best score of each."""
-    for base, _, w in slices(texts, fold=FOLD):
+    for base, _, w in slices(texts, fold=fold):
         term = index.term(w.hashes)
         cell, text_of = cells(w)
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
@@ -245,7 +255,7 @@ def _indices(items: DataFrame) -> list[Index]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, w in slices(batch.column(1), fold=FOLD):
+            for _, _, w in slices(batch.column(1), fold=fold):
                 for k in range(len(w.n)):
                     h = w.hashes[w.first[k] : w.first[k + 1]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.append(np.unique(h), 0).view(np.int64)), pa.array(np.append(np.zeros(len(np.unique(h)), np.int64), len(h)))], names=["term", "words"])

@@ -11,7 +11,7 @@ of a text or the number of texts.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -154,18 +154,18 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[cut[0] : cut[-1]], cut - cut[0]
 
 
-def slices(texts: pa.Array, lower: bool = False, size: int = SLICE, fold: np.ndarray | None = None) -> Iterator[tuple[int, int, Words]]:
+def slices(texts: pa.Array, lower: bool = False, size: int = SLICE, fold: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[int, int, Words]]:
     """(i, j, words of texts i to j) in slices of about size bytes; a longer text is a slice of its own.
 
-    fold: what each byte is read as; lower: A-Z as a-z.
+    fold: bytes to those that are read in their place; lower: A-Z as a-z.
     """
-    fold = LOWER if lower else fold
+    fold = LOWER.__getitem__ if lower else fold
     data, cut = buffers(texts)
     i, n = 0, len(cut) - 1
     while i < n:
         j = min(n, max(i + 1, int(np.searchsorted(cut, cut[i] + size, "right")) - 1))
         part = data[cut[i] : cut[j]]
-        yield i, j, Words(part if fold is None else fold[part], cut[i : j + 1] - cut[i])
+        yield i, j, Words(part if fold is None else fold(part), cut[i : j + 1] - cut[i])
         i = j
 
 
