@@ -17,7 +17,7 @@ def make_index(texts):
 
 
 def sentence(r, n, vocabulary=400):
-    return " ".join(f"w{int(r.paretovariate(0.7)) % vocabulary}" for _ in range(n))
+    return " ".join(f"w{int(r.paretovariate(0.7)) % vocabulary if r.random() < 0.4 else r.randrange(vocabulary)}" for _ in range(n))
 
 
 def test_search_against_scores_of_all_items():
