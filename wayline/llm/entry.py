@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayline.llm import op02_html, op03_pii, op04_classifier, op05_substring, op06_decontaminate, op07_minhash, op08_bpe, op09_urls, op10_quality
+from wayline.llm import op01_tokens, op02_html, op03_pii, op04_classifier, op05_substring, op06_decontaminate, op07_minhash, op08_bpe, op09_urls, op10_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op01_tokens.query,
     "op2_html_extraction": op02_html.query,
     "op3_pii_spans": op03_pii.query,
     "op4_quality_classifier": op04_classifier.query,
