@@ -42,10 +42,10 @@ def test_scores_do_not_depend_on_the_batch():
 
 def test_query_on_tables(spark, docs_of):
     labels = spark.createDataFrame([(0, 1), (1, 0), (None, 1)], "doc_id long, quality int")
-    good = " ".join(f"word{i}" for i in range(40))
-    df = docs_of([good, "### $$$ " * 30, None, "", good]).selectExpr("*", "1 as kept", "2 as score")
+    good = " ".join(f"word{i}" for i in range(4000))
+    df = docs_of([good, "### $$$ " * 30 + " ".join(f"%%{i}&&" for i in range(9000)), None, "", good]).selectExpr("*", "1 as kept", "2 as score")
     rows = {r.doc_id: r for r in q.quality_rules(df, q.weights(df, q.target_ids(labels))).collect()}
-    assert rows[0].kept and rows[4].kept and rows[0].score > 0 and not rows[1].kept and rows[2].base_failed and rows[3].score == 0
+    assert rows[0].kept and rows[4].kept and rows[0].score > 0 and rows[1].score < q.THRESHOLD and not rows[1].kept and rows[2].base_failed and rows[3].score == 0
     assert q.keep_good(df, q.weights(df, q.target_ids(labels))).columns == df.columns
     none = df.where("false")
     assert q.quality_rules(none, q.weights(none, q.target_ids(labels.where("false")))).count() == 0

@@ -46,7 +46,8 @@ def plain_scores(texts, good):
         for g in grams[i]:
             raw[g] += 1
             target[g] += i in good
-    ratio = np.log((target + 1) / (target.sum() + len(raw))) - np.log((raw + 1) / (raw.sum() + len(raw)))
+    base = (raw + 1) / (raw.sum() + len(raw))
+    ratio = np.log((target + len(raw) * base) / (target.sum() + len(raw)) / base)
     return {i: float(np.mean(ratio[g])) if g else 0.0 for i, g in grams.items()}
 
 

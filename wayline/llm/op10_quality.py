@@ -82,7 +82,13 @@ def weights(docs: DataFrame, trusted: np.ndarray, buckets: int = BUCKETS) -> np.
         good[k], raw[k] = g, r
     if not good.sum():
         return np.zeros(buckets, np.int64)
-    ratio = np.log((good + 1) / (good.sum() + buckets)) - np.log((raw + 1) / (raw.sum() + buckets))
+    return to_weights(good, raw)
+
+
+def to_weights(good: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """Log ratios of the counts; the target is smoothed towards the raw corpus, so a small target says little."""
+    base = (raw + 1) / (raw.sum() + len(raw))
+    ratio = np.log((good / base + len(raw)) / (good.sum() + len(raw)))
     return np.rint(ratio * UNIT).astype(np.int64)
 
 
