@@ -23,6 +23,7 @@ import hashlib
 import heapq
 import json
 import re
+import struct
 import unicodedata
 
 import numpy as np
@@ -35,7 +36,8 @@ from wayline.llm import frames
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Words and fragments that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 250_000
+_NONE = 1 << 60
 #: What \s is to the vocabulary's normalizer.
 _SPACES = "\t-\r \x85\xa0  -     　"
 
@@ -70,19 +72,23 @@ class Codec:
         self.inner = [vocab[c] for c in letters]
         self.last = [vocab[c + self.end] for c in letters]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.size = max(self.tokens) + 1
+        self.ranks = {vocab[a] * self.size + vocab[b]: rank for rank, (a, b) in enumerate(pairs)}
+        self.made = [vocab[a + b] for a, b in pairs]
         byte_of = {c: b for b, c in enumerate(letters)}
-        self.joined = np.zeros((256, 256), bool)
+        self.joined: set[int] = set()  # pairs of bytes that a token holds side by side
         for token in vocab:
             raw = [byte_of[c] for c in token.removesuffix(self.end)]
             for a, b in zip(raw, raw[1:]):
-                self.joined[a, b] = True
+                self.joined.add(a << 8 | b)
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(split["pattern"]["Regex"].replace(r"\s", _SPACES))
         self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.odd_space = re.compile("[\x1c-\x1f]")
         self.spaces = re.compile(f"[{_SPACES}]+")
+        # what was met lately, and before that: together they hold twice REMEMBERED entries at most
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.fragments: dict[tuple[bytes, bool], bytes] = {}
 
     def encode(self, text: str) -> bytes:
@@ -101,29 +107,44 @@ class Codec:
         for w in words:
             ids = known.get(w)
             if ids is None:
-                ids = b"".join([self._piece(p.encode()) for p in self.pieces.findall(w)])
-                if len(w) < 64:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[w] = ids
+                ids = self._word(w)
+                known = self.words
             out.append(ids)
         return b"".join(out)
 
+    def _word(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            pieces = self.pieces.findall(word)
+            if len(pieces) == 1:
+                ids = self._piece(pieces[0].encode())
+            else:
+                found = [self.words.get(p) or self.older.get(p) for p in pieces]
+                ids = b"".join([x or self._remember(p, self._piece(p.encode())) for p, x in zip(pieces, found)])
+        return self._remember(word, ids)
+
+    def _remember(self, word: str, ids: bytes) -> bytes:
+        if len(word) < 64:
+            if len(self.words) >= REMEMBERED:
+                self.words, self.older = {}, self.words
+            self.words[word] = ids
+        return ids
+
     def cuts(self, piece: bytes) -> list[int]:
         """Where the piece is certainly cut, its ends included."""
-        if len(piece) < 2:
-            return [0, len(piece)]
-        b = np.frombuffer(piece, np.uint8)
-        return [0, *(np.flatnonzero(~self.joined[b[:-1], b[1:]]) + 1).tolist(), len(piece)]
+        joined, n = self.joined, len(piece)
+        return [0, *[k for k in range(1, n) if (piece[k - 1] << 8 | piece[k]) not in joined], n]
 
     def _piece(self, piece: bytes) -> bytes:
         cut = self.cuts(piece)
+        if len(cut) == 2:
+            return _packed(self._merge(piece, True))
         known, out = self.fragments, []
         for a, b in zip(cut, cut[1:]):
             part = piece[a:b], b == len(piece)
             ids = known.get(part)
             if ids is None:
-                ids = np.array(self._merge(*part), "<u4").tobytes()
+                ids = _packed(self._merge(*part))
                 if b - a < 64:
                     if len(known) >= REMEMBERED:
                         known.clear()
@@ -133,37 +154,44 @@ class Codec:
 
     def _merge(self, raw: bytes, ends_word: bool) -> list[int]:
         """Merges by rank, the leftmost of equal rank first."""
-        ids = [self.inner[b] for b in raw]
+        inner = self.inner
+        ids = [inner[b] for b in raw]
         if ends_word:
             ids[-1] = self.last[raw[-1]]
-        merges = self.merges
-        if len(ids) > 40:
+        if len(ids) > 100:
             return self._merge_long(ids)
-        while len(ids) > 1:
-            best = min(((m[0], k, m[1]) for k in range(len(ids) - 1) if (m := merges.get((ids[k], ids[k + 1])))), default=None)
-            if best is None:
+        rank_of, size, made = self.ranks.get, self.size, self.made
+        ranks = [rank_of(a * size + b, _NONE) for a, b in zip(ids, ids[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == _NONE:
                 break
-            k = best[1]
-            ids[k : k + 2] = [best[2]]
+            k = ranks.index(best)
+            ids[k] = new = made[best]
+            del ids[k + 1], ranks[k]
+            if k:
+                ranks[k - 1] = rank_of(ids[k - 1] * size + new, _NONE)
+            if k < len(ranks):
+                ranks[k] = rank_of(new * size + ids[k + 1], _NONE)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
-        merges, n = self.merges, len(ids)
+        rank_of, size, n = self.ranks.get, self.size, len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(m[0], k, ids[k], ids[k + 1], m[1]) for k in range(n - 1) if (m := merges.get((ids[k], ids[k + 1])))]
+        heap = [(r, k, ids[k], ids[k + 1]) for k in range(n - 1) if (r := rank_of(ids[k] * size + ids[k + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, k, a, b, new = heapq.heappop(heap)
+            rank, k, a, b = heapq.heappop(heap)
             j = after[k]
             if ids[k] != a or j >= n or ids[j] != b:
                 continue
-            ids[k], ids[j] = new, -1
+            ids[k], ids[j] = self.made[rank], -1
             after[k] = after[j]
             if after[k] < n:
                 before[after[k]] = k
             for left, right in ((before[k], k), (k, after[k])):
-                if left >= 0 and right < n and (m := merges.get((ids[left], ids[right]))):
-                    heapq.heappush(heap, (m[0], left, ids[left], ids[right], m[1]))
+                if left >= 0 and right < n and (r := rank_of(ids[left] * size + ids[right])) is not None:
+                    heapq.heappush(heap, (r, left, ids[left], ids[right]))
         return [i for i in ids if i >= 0]
 
     def decode(self, ids: bytes) -> bytes:
@@ -171,6 +199,10 @@ class Codec:
         return b" ".join([self.spelled[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 @functools.lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
     return Codec(path)
