@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from wayline.functions.quaternion import mat_t, mat_vec, vec
+from wayline.functions.quaternion import bound, mat_t, mat_vec, vec
 
 # Fixed values of WGS84 and of normal gravity.
 A, FLATTENING = 6378137.0, 1 / 298.257223563
@@ -23,29 +23,50 @@ def prime_vertical(lat: Column) -> Column:
     return A / F.sqrt(1 - E2 * F.pow(F.sin(lat), 2))
 
 
+@bound
 def to_ecef(lat: Column, lon: Column, h: Column) -> Column:
     n = prime_vertical(lat)
     return vec((n + h) * F.cos(lat) * F.cos(lon), (n + h) * F.cos(lat) * F.sin(lon), (n * (1 - E2) + h) * F.sin(lat))
 
 
+@bound
 def from_ecef(p: Column) -> Column:
     """struct<lat,lon,h> of a point, in closed form; within 50 km of the centre it raises."""
     r = F.hypot(p.x, p.y)
     far = F.sqrt(r * r + p.z * p.z)
     r = F.when(far >= 50_000, r).otherwise(F.raise_error(F.lit("too near the centre of the earth")).cast("double"))
-    ep2 = (A * A - B * B) / (B * B)
     f = 54 * B * B * p.z * p.z
     g = r * r + (1 - E2) * p.z * p.z - E2 * (A * A - B * B)
-    c = E2 * E2 * f * r * r / (g * g * g)
-    s = F.cbrt(1 + c + F.sqrt(c * c + 2 * c))
+    return _with_root(p, r, f, g, E2 * E2 * f * r * r / (g * g * g))
+
+
+@bound
+def _with_root(p: Column, r: Column, f: Column, g: Column, c: Column) -> Column:
+    return _with_k(p, r, f, g, F.cbrt(1 + c + F.sqrt(c * c + 2 * c)))
+
+
+@bound
+def _with_k(p: Column, r: Column, f: Column, g: Column, s: Column) -> Column:
     k = s + 1 + 1 / s
-    q0 = f / (3 * k * k * g * g)
-    q = F.sqrt(1 + 2 * E2 * E2 * q0)
-    r0 = -q0 * E2 * r / (1 + q) + F.sqrt(F.greatest(0.5 * A * A * (1 + 1 / q) - q0 * (1 - E2) * p.z * p.z / (q * (1 + q)) - 0.5 * q0 * r * r, F.lit(0.0)))
-    d = r - E2 * r0
+    return _with_q(p, r, f / (3 * k * k * g * g))
+
+
+@bound
+def _with_q(p: Column, r: Column, q0: Column) -> Column:
+    return _with_r0(p, r, q0, F.sqrt(1 + 2 * E2 * E2 * q0))
+
+
+@bound
+def _with_r0(p: Column, r: Column, q0: Column, q: Column) -> Column:
+    inside = 0.5 * A * A * (1 + 1 / q) - q0 * (1 - E2) * p.z * p.z / (q * (1 + q)) - 0.5 * q0 * r * r
+    return _geodetic(p, r, r - E2 * (-q0 * E2 * r / (1 + q) + F.sqrt(F.greatest(inside, F.lit(0.0)))))
+
+
+@bound
+def _geodetic(p: Column, r: Column, d: Column) -> Column:
     u, v = F.sqrt(d * d + p.z * p.z), F.sqrt(d * d + (1 - E2) * p.z * p.z)
     z0 = B * B * p.z / (A * v)
-    return F.struct(F.atan2(p.z + ep2 * z0, r).alias("lat"), F.atan2(p.y, p.x).alias("lon"), (u * (1 - B * B / (A * v))).alias("h"))
+    return F.struct(F.atan2(p.z + (A * A - B * B) / (B * B) * z0, r).alias("lat"), F.atan2(p.y, p.x).alias("lon"), (u * (1 - B * B / (A * v))).alias("h"))
 
 
 def enu_matrix(lat: Column, lon: Column) -> Column:
@@ -54,11 +75,13 @@ def enu_matrix(lat: Column, lon: Column) -> Column:
     return F.array(-so, co, F.lit(0.0), -sa * co, -sa * so, ca, ca * co, ca * so, sa)
 
 
+@bound
 def ecef_to_enu(p: Column, lat0: Column, lon0: Column, h0: Column) -> Column:
     o = to_ecef(lat0, lon0, h0)
     return mat_vec(enu_matrix(lat0, lon0), vec(p.x - o.x, p.y - o.y, p.z - o.z))
 
 
+@bound
 def enu_to_ecef(v: Column, lat0: Column, lon0: Column, h0: Column) -> Column:
     o, d = to_ecef(lat0, lon0, h0), mat_vec(mat_t(enu_matrix(lat0, lon0)), v)
     return vec(o.x + d.x, o.y + d.y, o.z + d.z)
@@ -72,6 +95,7 @@ def from_enu(v: Column, lat0: Column, lon0: Column, h0: Column) -> Column:
     return from_ecef(enu_to_ecef(v, lat0, lon0, h0))
 
 
+@bound
 def enu_ned(v: Column) -> Column:
     """Swaps east-north-up and north-east-down; its own inverse."""
     return vec(v.y, v.x, -v.z)
@@ -100,6 +124,7 @@ def moved(lat: Column, lon: Column, h: Column, east: Column, north: Column) -> C
     return F.struct((lat + north / (meridian_radius(lat) + h)).alias("lat"), (lon + east / ((prime_vertical(lat) + h) * F.cos(lat))).alias("lon"))
 
 
+@bound
 def along_cross(east: Column, north: Column, course: Column) -> Column:
     """An error along and across a course (clockwise from north)."""
     return F.struct((east * F.sin(course) + north * F.cos(course)).alias("along"), (east * F.cos(course) - north * F.sin(course)).alias("across"))

@@ -6,6 +6,7 @@ Quaternions are [w, x, y, z]; a product applies its right factor first.
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column
@@ -14,6 +15,21 @@ from pyspark.sql import functions as F
 PI = math.pi
 
 
+def bound(f):
+    """f with its column arguments evaluated once, however often f's expression names them.
+
+    A tree of nested expressions doubles at each use; a lambda variable does not.
+    """
+
+    @functools.wraps(f)
+    def g(*args):
+        named = {f"a{i}": a for i, a in enumerate(args) if isinstance(a, Column)}
+        once = F.struct(*(a.alias(n) for n, a in named.items()))
+        return F.transform(F.array(once), lambda s: f(*(s[f"a{i}"] if isinstance(a, Column) else a for i, a in enumerate(args))))[0]
+
+    return g
+
+
 def quat(w, x, y, z) -> Column:
     return F.struct(*(c.cast("double").alias(n) if isinstance(c, Column) else F.lit(float(c)).alias(n) for n, c in zip("wxyz", (w, x, y, z))))
 
@@ -34,6 +50,7 @@ def scaled(q: Column, s) -> Column:
     return quat(q.w * s, q.x * s, q.y * s, q.z * s)
 
 
+@bound
 def normalized(q: Column) -> Column:
     """Unit quaternion; a zero one raises."""
     n = norm(q)
@@ -59,6 +76,7 @@ def inverse(q: Column) -> Column:
     return quat(q.w / n, -q.x / n, -q.y / n, -q.z / n)
 
 
+@bound
 def product(a: Column, b: Column) -> Column:
     return quat(
         a.w * b.w - a.x * b.x - a.y * b.y - a.z * b.z,
@@ -76,6 +94,7 @@ def dot(a: Column, b: Column) -> Column:
     return a.x * b.x + a.y * b.y + a.z * b.z
 
 
+@bound
 def rotated(q: Column, v: Column) -> Column:
     """v turned by the unit quaternion q."""
     u = vec(q.x, q.y, q.z)
@@ -85,6 +104,7 @@ def rotated(q: Column, v: Column) -> Column:
     return vec(v.x + q.w * t.x + c.x, v.y + q.w * t.y + c.y, v.z + q.w * t.z + c.z)
 
 
+@bound
 def matrix(q: Column) -> Column:
     """The rotation as an array of 9, row by row."""
     w, x, y, z = q.w, q.x, q.y, q.z
@@ -95,6 +115,7 @@ def matrix(q: Column) -> Column:
     )
 
 
+@bound
 def from_matrix(m: Column) -> Column:
     """The quaternion of a rotation matrix, by the greatest of trace and diagonal."""
     e = lambda i, j: m[3 * i + j]
@@ -109,6 +130,7 @@ def from_matrix(m: Column) -> Column:
     return F.when(trace == top, a).when(e(0, 0) == top, b).when(e(1, 1) == top, c).otherwise(d)
 
 
+@bound
 def exponential(v: Column) -> Column:
     """The rotation by the vector v (axis times angle); a series below a millionth of a radian."""
     a = vec_norm(v)
@@ -117,6 +139,7 @@ def exponential(v: Column) -> Column:
     return quat(F.cos(half), v.x * k, v.y * k, v.z * k)
 
 
+@bound
 def logarithm(q: Column) -> Column:
     """The rotation vector of a unit quaternion, its angle in [0, pi]."""
     c = canonical(q)
@@ -125,6 +148,7 @@ def logarithm(q: Column) -> Column:
     return vec(c.x * k, c.y * k, c.z * k)
 
 
+@bound
 def from_axis_angle(axis: Column, angle: Column) -> Column:
     n = vec_norm(axis)
     k = F.sin(angle / 2) / F.when(n > 0, n).otherwise(F.raise_error(F.lit("zero axis")).cast("double"))
@@ -141,6 +165,7 @@ def quat_dot(a: Column, b: Column) -> Column:
     return a.w * b.w + a.x * b.x + a.y * b.y + a.z * b.z
 
 
+@bound
 def slerp(a: Column, b: Column, t: Column) -> Column:
     """The shorter way from a to b; nearly parallel ones are mixed and normalised."""
     d = quat_dot(a, b)
@@ -159,11 +184,13 @@ def angle_between(a: Column, b: Column) -> Column:
     return 2 * F.acos(F.least(F.abs(quat_dot(a, b)), F.lit(1.0)))
 
 
+@bound
 def from_euler(yaw: Column, pitch: Column, roll: Column) -> Column:
     cy, sy, cp, sp, cr, sr = (f(a / 2) for a in (yaw, pitch, roll) for f in (F.cos, F.sin))
     return quat(cr * cp * cy + sr * sp * sy, sr * cp * cy - cr * sp * sy, cr * sp * cy + sr * cp * sy, cr * cp * sy - sr * sp * cy)
 
 
+@bound
 def to_euler(q: Column) -> Column:
     """struct<yaw,pitch,roll>; at gimbal lock roll is 0 and yaw takes all."""
     s = F.greatest(F.least(2 * (q.w * q.y - q.z * q.x), F.lit(1.0)), F.lit(-1.0))
@@ -212,10 +239,12 @@ def rot_z(a: Column) -> Column:
     return F.array(F.cos(a), -F.sin(a), o, F.sin(a), F.cos(a), o, o, o, e)
 
 
+@bound
 def mat_mul(a: Column, b: Column) -> Column:
     return F.array(*(a[3 * i] * b[j] + a[3 * i + 1] * b[3 + j] + a[3 * i + 2] * b[6 + j] for i in range(3) for j in range(3)))
 
 
+@bound
 def mat_vec(m: Column, v: Column) -> Column:
     return vec(*(m[3 * i] * v.x + m[3 * i + 1] * v.y + m[3 * i + 2] * v.z for i in range(3)))
 
@@ -232,6 +261,7 @@ def determinant(m: Column) -> Column:
     return m[0] * (m[4] * m[8] - m[5] * m[7]) - m[1] * (m[3] * m[8] - m[5] * m[6]) + m[2] * (m[3] * m[7] - m[4] * m[6])
 
 
+@bound
 def is_rotation(m: Column, tolerance: float = 1e-9) -> Column:
     p = mat_mul(m, mat_t(m))
     near = F.lit(True)
@@ -240,10 +270,12 @@ def is_rotation(m: Column, tolerance: float = 1e-9) -> Column:
     return near & (F.abs(determinant(m) - 1) <= tolerance)
 
 
+@bound
 def rotation_angle(m: Column) -> Column:
     return F.acos(F.greatest(F.least((m[0] + m[4] + m[8] - 1) / 2, F.lit(1.0)), F.lit(-1.0)))
 
 
+@bound
 def levelling(up: Column) -> Column:
     """The least rotation that takes a direction to +z; straight down turns about x."""
     n = vec_norm(up)

@@ -15,8 +15,9 @@ Keys = list[str]
 
 
 def _merged(left: DataFrame, right: DataFrame, by: Keys, at: str, key: str, right_key: str, values: Keys) -> DataFrame:
-    one = left.select(*by, F.col(at).alias("_at"), F.lit(0).alias("_side"), F.col(key).alias("_tie"), F.struct(*left.columns).alias("_left"), F.lit(None).cast(right.select(F.struct(at, right_key, *values)).schema[0].dataType).alias("_right"))
-    two = right.select(*by, F.col(at).alias("_at"), F.lit(1).alias("_side"), F.col(right_key).alias("_tie"), F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("_left"), F.struct(at, right_key, *values).alias("_right"))
+    kept = list(dict.fromkeys([at, right_key, *values]))
+    one = left.select(*by, F.col(at).alias("_at"), F.lit(0).alias("_side"), F.col(key).alias("_tie"), F.struct(*left.columns).alias("_left"), F.lit(None).cast(right.select(F.struct(*kept)).schema[0].dataType).alias("_right"))
+    two = right.select(*by, F.col(at).alias("_at"), F.lit(1).alias("_side"), F.col(right_key).alias("_tie"), F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("_left"), F.struct(*kept).alias("_right"))
     return one.unionByName(two)
 
 
