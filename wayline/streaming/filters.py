@@ -1,0 +1,179 @@
+"""A 15-state error-state filter for inertial navigation, as numpy steps.
+
+State: position, velocity, attitude (rotation body to local east-north-up),
+accelerometer and gyro biases; its error has a 15 by 15 covariance. A step
+propagates one sample that holds from its time on; updates are gated by the
+normalised innovation squared and use the Joseph form. ``track`` runs a session's
+samples and fixes, for use in a grouped pass or in a stream's state.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+#: 99.9 % points of chi-square with 1 to 6 degrees of freedom (fixed values).
+GATES = (10.828, 13.816, 16.266, 18.467, 20.515, 22.458)
+GRAVITY = np.array([0.0, 0.0, -9.80665])
+
+
+class CovarianceError(ArithmeticError):
+    """The covariance is no longer finite and positive definite."""
+
+
+def cross_matrix(v: np.ndarray) -> np.ndarray:
+    return np.array([[0, -v[2], v[1]], [v[2], 0, -v[0]], [-v[1], v[0], 0]])
+
+
+def rotation(v: np.ndarray) -> np.ndarray:
+    """The rotation matrix of a rotation vector."""
+    a = float(np.linalg.norm(v))
+    k = cross_matrix(v)
+    if a < 1e-8:
+        return np.eye(3) + k + k @ k / 2
+    return np.eye(3) + np.sin(a) / a * k + (1 - np.cos(a)) / (a * a) * (k @ k)
+
+
+@dataclass
+class Filter:
+    position: np.ndarray
+    velocity: np.ndarray
+    attitude: np.ndarray
+    covariance: np.ndarray
+    accel_bias: np.ndarray = field(default_factory=lambda: np.zeros(3))
+    gyro_bias: np.ndarray = field(default_factory=lambda: np.zeros(3))
+    accel_noise: float = 0.33
+    gyro_noise: float = 0.021
+    accepted: int = 0
+    rejected: int = 0
+    streak: int = 0
+
+    @staticmethod
+    def start(position, velocity, yaw: float, sigma: tuple[float, float, float] = (10.0, 2.0, 0.3)) -> Filter:
+        p = np.diag(np.repeat([sigma[0] ** 2, sigma[1] ** 2, sigma[2] ** 2, 0.05**2, 0.005**2], 3))
+        return Filter(np.array(position, float), np.array(velocity, float), rotation(np.array([0, 0, yaw])), p)
+
+    def propagate(self, accel: np.ndarray, gyro: np.ndarray, dt: float) -> None:
+        if dt <= 0:
+            raise ValueError("dt must be positive")
+        f, w = accel - self.accel_bias, gyro - self.gyro_bias
+        before = self.attitude @ f + GRAVITY
+        turned = self.attitude @ rotation(w * dt)
+        middle = (before + turned @ f + GRAVITY) / 2
+        self.position = self.position + (self.velocity + middle * dt / 2) * dt
+        a = np.zeros((15, 15))
+        a[0:3, 3:6] = np.eye(3)
+        a[3:6, 6:9] = -cross_matrix(self.attitude @ f)
+        a[3:6, 9:12] = -self.attitude
+        a[6:9, 12:15] = -self.attitude
+        phi = np.eye(15) + a * dt + a @ a * (dt * dt / 2)
+        q = np.diag(np.repeat([0.0, self.accel_noise**2 * dt, self.gyro_noise**2 * dt, 1e-6 * dt, 1e-8 * dt], 3))
+        self.velocity = self.velocity + middle * dt
+        self.attitude = turned
+        self._set(phi @ self.covariance @ phi.T + q)
+
+    def update(self, innovation: np.ndarray, h: np.ndarray, r: np.ndarray, gate: bool = True) -> tuple[bool, float]:
+        """Takes a measurement in, unless its gate refuses it; returns whether, and the normalised innovation squared."""
+        s = h @ self.covariance @ h.T + r
+        nis = float(innovation @ np.linalg.solve(s, innovation))
+        if gate and nis > GATES[len(innovation) - 1]:
+            self.rejected, self.streak = self.rejected + 1, self.streak + 1
+            return False, nis
+        k = np.linalg.solve(s, h @ self.covariance).T
+        e = k @ innovation
+        left = np.eye(15) - k @ h
+        self.position, self.velocity = self.position + e[0:3], self.velocity + e[3:6]
+        self.attitude = rotation(e[6:9]) @ self.attitude
+        self.accel_bias, self.gyro_bias = self.accel_bias + e[9:12], self.gyro_bias + e[12:15]
+        self._set(left @ self.covariance @ left.T + k @ r @ k.T)
+        self.accepted, self.streak = self.accepted + 1, 0
+        return True, nis
+
+    def fix(self, position: np.ndarray, accuracy: float, velocity: np.ndarray | None = None) -> tuple[bool, float]:
+        """A satellite fix; velocity counts from 2 m/s on. After three refusals in a row position and velocity start anew."""
+        h, r = [np.eye(3, 15)], [accuracy**2, accuracy**2, (2.5 * accuracy) ** 2]
+        nu = [position - self.position]
+        if velocity is not None and np.hypot(*velocity[:2]) >= 2:
+            h.append(np.eye(2, 15, 3))
+            r += [0.25, 0.25]
+            nu.append(velocity[:2] - self.velocity[:2])
+        out = self.update(np.concatenate(nu), np.vstack(h), np.diag(r))
+        if self.streak >= 3:
+            self.reset(position, accuracy, velocity)
+        return out
+
+    def reset(self, position: np.ndarray, accuracy: float, velocity: np.ndarray | None) -> None:
+        self.position = position.copy()
+        if velocity is not None:
+            self.velocity = np.append(velocity[:2], 0.0)
+        p = self.covariance
+        p[0:6, :] = p[:, 0:6] = 0
+        p[0:3, 0:3] = np.diag([accuracy**2, accuracy**2, (2.5 * accuracy) ** 2])
+        p[3:6, 3:6] = np.eye(3) * (1.0 if velocity is not None else 25.0)
+        for i in range(6, 9):
+            p[i, i] = min(0.25, 4 * p[i, i])
+        self._set(p)
+        self.streak = 0
+
+    def still(self) -> tuple[bool, float]:
+        """No velocity."""
+        return self.update(-self.velocity, np.eye(3, 15, 3), np.eye(3) * 0.05**2)
+
+    def straight(self, speed_least: float = 2.0) -> tuple[bool, float] | None:
+        """A car moves neither sideways nor up: body y and z velocities are nought."""
+        body = self.attitude.T @ self.velocity
+        if abs(body[0]) < speed_least:
+            return None
+        h = np.zeros((2, 15))
+        h[:, 3:6] = self.attitude.T[1:]
+        h[:, 6:9] = (self.attitude.T @ cross_matrix(self.velocity))[1:]
+        return self.update(-body[1:], h, np.eye(2) * 0.09)
+
+    def _set(self, p: np.ndarray) -> None:
+        p = (p + p.T) / 2
+        if not np.isfinite(p).all():
+            raise CovarianceError("covariance is not finite")
+        try:
+            np.linalg.cholesky(p + np.eye(15) * 1e-12)
+        except np.linalg.LinAlgError as e:
+            raise CovarianceError("covariance is not positive definite") from e
+        self.covariance = p
+
+
+def track(rows: pd.DataFrame) -> Iterator[tuple[float, float, float, float, int, int, str]]:
+    """(t, x, y, sigma, accepted, rejected, status) of each ordered row: t, acc_x..z, gyro_x..z, fix_x, fix_y, fix_acc (null without)."""
+    f, last, status = None, None, "waiting"
+    for r in rows.itertuples(index=False):
+        has_fix = r.fix_x == r.fix_x and r.fix_x is not None
+        try:
+            if f is None:
+                if has_fix:
+                    f, status = Filter.start((r.fix_x, r.fix_y, 0.0), (0.0, 0.0, 0.0), 0.0), "navigating"
+            else:
+                if r.t > last:
+                    f.propagate(np.array([r.acc_x, r.acc_y, r.acc_z]), np.array([r.gyro_x, r.gyro_y, r.gyro_z]), r.t - last)
+                if has_fix:
+                    f.fix(np.array([r.fix_x, r.fix_y, 0.0]), r.fix_acc)
+        except CovarianceError:
+            f, status = None, "diverged"
+        last = r.t
+        if f is None:
+            yield r.t, float("nan"), float("nan"), float("nan"), 0, 0, status
+        else:
+            yield r.t, f.position[0], f.position[1], float(np.sqrt(f.covariance[0, 0] + f.covariance[1, 1])), f.accepted, f.rejected, status
+
+
+def track_sessions(df: DataFrame, key: str = "session_id") -> DataFrame:
+    """track over every session; a session that diverges says so in status and fails no job."""
+    schema = f"{key} long, t double, x double, y double, sigma double, accepted long, rejected long, status string"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame(list(track(pdf.sort_values("t", kind="stable"))), columns=["t", "x", "y", "sigma", "accepted", "rejected", "status"])
+        out.insert(0, key, pdf[key].iloc[0])
+        return out
+
+    return df.groupBy(key).applyInPandas(run, schema)
