@@ -1,0 +1,78 @@
+"""Arrow UDFs for what expressions cannot say: polar projection, augmentation, FFT lags, model inference."""
+
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def nearest_rotation(column: str):
+    """The rotation nearest to a 3 by 3 matrix (array of 9)."""
+
+    @F.pandas_udf("array<double>")
+    def run(m: pd.Series) -> pd.Series:
+        u, _, v = np.linalg.svd(np.stack(m.to_numpy()).astype(float).reshape(-1, 3, 3))
+        u[:, :, 2] *= np.linalg.det(u @ v)[:, None]
+        return pd.Series(list((u @ v).reshape(-1, 9)))
+
+    return run(column)
+
+
+def fft_lags(df: DataFrame, by: str, order: str, x: str, y: str, most: int) -> DataFrame:
+    """For each session the lag of y behind x of greatest correlation: FFT finds the place, Pearson's r refines it."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        a, b = pdf[x].to_numpy(float), pdf[y].to_numpy(float)
+        n = len(a)
+        size = 1 << (2 * n).bit_length()
+        c = np.fft.irfft(np.conj(np.fft.rfft(a - a.mean(), size)) * np.fft.rfft(b - b.mean(), size), size)
+        lags = [k for k in range(-min(most, n - 2), min(most, n - 2) + 1)]
+        top = max(lags, key=lambda k: c[k] / (n - abs(k)))
+        best = (-2.0, 0)
+        for k in range(max(top - 30, lags[0]), min(top + 30, lags[-1]) + 1):
+            p, q = (a[: n - k], b[k:]) if k >= 0 else (a[-k:], b[: n + k])
+            if len(p) > 2 and p.std() > 0 and q.std() > 0:
+                best = max(best, (float(np.corrcoef(p, q)[0, 1]), -abs(k) * 0 + k), key=lambda z: z[0])
+        return pd.DataFrame({by: [pdf[by].iloc[0]], "lag": [best[1]], "r": [best[0]]})
+
+    return df.select(by, order, x, y).groupBy(by).applyInPandas(run, f"{by} long, lag long, r double")
+
+
+def augmented(df: DataFrame, column: str, seed: int, yaw: bool = True, noise: float = 0.0) -> DataFrame:
+    """Windows (array of x, y, z triples, flat) turned about the vertical by a seeded angle, with noise; the same for the same seed."""
+    angle = F.pmod(F.xxhash64(column, F.lit(seed)), F.lit(1_000_000)) / 1e6 * 2 * np.pi
+
+    @F.pandas_udf("array<double>")
+    def turn(v: pd.Series, a: pd.Series) -> pd.Series:
+        out = []
+        for w, t in zip(v, a):
+            p = np.asarray(w, float).reshape(-1, 3).copy()
+            if yaw:
+                p[:, :2] = p[:, :2] @ np.array([[np.cos(t), np.sin(t)], [-np.sin(t), np.cos(t)]])
+            out.append((p + np.random.default_rng(int(t * 1e6)).normal(0, noise, p.shape)).reshape(-1))
+        return pd.Series(out)
+
+    return df.withColumn(column, turn(column, angle))
+
+
+def predicted(df: DataFrame, column: str, model: bytes, sha256: str, out: str = "prediction") -> DataFrame:
+    """Mean and variance of an ONNX model for each window; another hash than the card's is refused. Loaded once a worker."""
+    if hashlib.sha256(model).hexdigest() != sha256:
+        raise ValueError("the model is not the one of its card")
+    sent = df.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("struct<mean:double,variance:double>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        import onnxruntime
+
+        session = onnxruntime.InferenceSession(sent.value, providers=["CPUExecutionProvider"])
+        name = session.get_inputs()[0].name
+        for s in parts:
+            y = np.asarray(session.run(None, {name: np.stack(s.to_numpy()).astype(np.float32)})[0], float)
+            yield pd.DataFrame({"mean": y[:, 0], "variance": np.exp(np.clip(y[:, 1], -8, 6))})
+
+    return df.withColumn(out, run(column))

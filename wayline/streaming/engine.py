@@ -1,0 +1,113 @@
+"""The navigation engine over filters: heading hypotheses, recovery after outages, continuous output."""
+
+from __future__ import annotations
+
+import math
+from dataclasses import dataclass, field
+
+import numpy as np
+
+from wayline.streaming.filters import CovarianceError, Filter
+
+#: Headings tried, the seconds they are compared, the speed from which a fix starts them (fixed values).
+HEADINGS, COMPARED_S, START_SPEED, NIS_CAP, RESET_COST = 8, 120.0, 5.0, 50.0, 50.0
+
+
+@dataclass
+class Hypothesis:
+    filter: Filter
+    scores: list[float] = field(default_factory=list)
+    resets: int = 0
+
+    def score(self) -> float:
+        """Mean of capped innovations, and a cost for each reset."""
+        return (sum(self.scores) / len(self.scores) if self.scores else 0.0) + RESET_COST * self.resets
+
+
+class Engine:
+    """WAITING until a moving fix, ALIGNING over eight headings, then NAVIGATING with the best."""
+
+    def __init__(self) -> None:
+        self.state, self.tried, self.began, self.last = "WAITING", [], 0.0, None
+        self.recovery = Recovery()
+
+    def sample(self, t: float, accel: np.ndarray, gyro: np.ndarray) -> None:
+        if self.last is not None and t > self.last:
+            for h in list(self.tried):
+                try:
+                    h.filter.propagate(accel, gyro, t - self.last)
+                except CovarianceError:
+                    self.tried.remove(h)
+            if not self.tried and self.state != "WAITING":
+                self.state = "WAITING"
+        if self.state == "ALIGNING" and t - self.began >= COMPARED_S:
+            self.tried = [min(self.tried, key=Hypothesis.score)]
+            self.state = "NAVIGATING"
+        self.last = t
+
+    def fix(self, t: float, position: np.ndarray, accuracy: float, speed: float, course: float) -> None:
+        velocity = np.array([speed * math.sin(course), speed * math.cos(course), 0.0])
+        if self.state == "WAITING":
+            if speed > START_SPEED:
+                yaw = math.pi / 2 - course
+                self.tried = [Hypothesis(Filter.start(position, velocity, yaw + k * 2 * math.pi / HEADINGS)) for k in range(HEADINGS)]
+                self.state, self.began = "ALIGNING", t
+            return
+        for h in self.tried:
+            before = h.filter.rejected
+            kept, nis = h.filter.fix(position, accuracy, velocity)
+            h.scores.append(min(nis, NIS_CAP) if kept else NIS_CAP)
+            h.resets += h.filter.streak == 0 and h.filter.rejected > before
+
+    def best(self) -> Filter | None:
+        return min(self.tried, key=Hypothesis.score).filter if self.tried else None
+
+
+@dataclass
+class Recovery:
+    """After an outage fixes are held until two agree, then let in with falling noise.
+
+    Fixes agree if their distance differs from the dead-reckoned one by at most 5 %
+    and 3 m, no more than 14 s apart; after 30 s all are let in (fixed values).
+    """
+
+    confirm: int = 2
+    timeout_s: float = 30.0
+    gap_s: float = 14.0
+    schedule: tuple[float, ...] = (9.0, 4.0, 2.0)
+    held: list[tuple[float, np.ndarray, np.ndarray]] = field(default_factory=list)
+    since: float | None = None
+    released: int = 99
+
+    def lost(self) -> None:
+        self.held, self.since, self.released = [], None, 0
+
+    def factor(self, t: float, position: np.ndarray, reckoned: np.ndarray) -> float | None:
+        """The factor of a fix's variance, or None to hold it."""
+        if self.released >= len(self.schedule):
+            return 1.0
+        if self.released == 0 and len(self.held) < self.confirm:
+            self.since = t if self.since is None else self.since
+            if t - self.since < self.timeout_s:
+                if self.held:
+                    t0, p0, r0 = self.held[-1]
+                    moved = float(np.linalg.norm(reckoned - r0))
+                    agree = t - t0 <= self.gap_s and abs(float(np.linalg.norm(position - p0)) - moved) <= 0.05 * moved + 3
+                    self.held = [*self.held, (t, position, reckoned)] if agree else [(t, position, reckoned)]
+                else:
+                    self.held = [(t, position, reckoned)]
+                if len(self.held) < self.confirm:
+                    return None
+        out = self.schedule[self.released]
+        self.released += 1
+        return out
+
+
+def inflated(p: np.ndarray, innovation: np.ndarray, r: np.ndarray, gate: float, most: float = 100.0) -> np.ndarray | None:
+    """The position covariance, doubled as little as lets the innovation pass its gate; None if most is not enough."""
+    k = 1.0
+    while k <= most:
+        if float(innovation @ np.linalg.solve(k * p + r, innovation)) <= gate:
+            return k * p
+        k *= 2
+    return None
