@@ -247,3 +247,18 @@ def _kept(w: Words, gone: np.ndarray) -> list[bytes]:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return substring_dedup(frames.table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+ORACLE = r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+word AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM docs),
+win AS (SELECT doc_id, p, word, CASE WHEN count(*) OVER w = 35 THEN string_agg(word, ' ') OVER w END AS passage
+  FROM word WINDOW w AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+twice AS (SELECT passage FROM win WHERE passage IS NOT NULL GROUP BY passage HAVING count(*) > 1),
+gone AS (SELECT doc_id, p, word, max(CASE WHEN passage IN (SELECT passage FROM twice) THEN 1 ELSE 0 END)
+  OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS removed FROM win),
+done AS (SELECT doc_id, count(*) AS n_words, CAST(sum(removed) AS BIGINT) AS n_removed,
+  coalesce(string_agg(word, ' ' ORDER BY p) FILTER (WHERE removed = 0), '') AS kept FROM gone GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN done ON done.doc_id = d.doc_id
+"""
