@@ -40,6 +40,13 @@ def test_search_against_scores_of_all_items():
     assert some > 150
 
 
+def test_index_of_a_table(spark):
+    r = random.Random(3)
+    texts = [sentence(r, r.randint(5, 60)) for _ in range(80)]
+    one, other = bm._indices(spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").repartition(3))[0], make_index(texts)[0]
+    assert one.ids == other.ids and np.allclose(one.least, other.least) and np.allclose(one.bound, other.bound)
+
+
 def test_planted_passages(docs_of, spark):
     r = random.Random(7)
     items = [(i, f"Question {i} {sentence(r, r.randint(12, 150), 3000)}. The answer {sentence(r, 6, 3000)}.") for i in range(60)] + [(60, None), (61, ""), (3, "again nothing of this")]

@@ -258,7 +258,10 @@ def _indices(items: DataFrame) -> list[Index]:
             for _, _, w in slices(batch.column(1), fold=fold):
                 for k in range(len(w.n)):
                     h = w.hashes[w.first[k] : w.first[k + 1]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.append(np.unique(h), 0).view(np.int64)), pa.array(np.append(np.zeros(len(np.unique(h)), np.int64), len(h)))], names=["term", "words"])
+                    terms = np.append(np.unique(h), np.uint64(0)).view(np.int64)  # the last row has the item's length
+                    words = np.zeros(len(terms), np.int64)
+                    words[-1] = len(h)
+                    yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(words)], names=["term", "words"])
 
     counted = items.mapInArrow(count, "term long, words long")
     total, words = counted.where("words > 0").agg(F.count("*"), F.sum("words")).head()
