@@ -49,3 +49,16 @@ def test_query_on_tables(spark, docs_of):
     assert q.keep_good(df, q.weights(df, q.target_ids(labels))).columns == df.columns
     none = df.where("false")
     assert q.quality_rules(none, q.weights(none, q.target_ids(labels.where("false")))).count() == 0
+
+
+def test_target_counts_every_trusted_document(spark):
+    n = 25_000
+    docs = spark.range(n).selectExpr("CASE WHEN id % 100 > 0 THEN id END AS doc_id", "concat('text ', hex(id * 7919)) AS text")
+    labels = spark.range(-1, n).selectExpr("id AS doc_id", "CASE WHEN id % 10 < 9 THEN 1 ELSE 0 END AS quality")
+    good, raw = np.zeros(q.BUCKETS), np.zeros(q.BUCKETS)
+    for k in range(n):
+        data = np.frombuffer(f"text {k * 7919:X}".encode(), np.uint8)
+        counts = np.bincount(q.grams(data, np.array([0, len(data)]))[0], minlength=q.BUCKETS)
+        raw += counts
+        good += counts * (k % 100 > 0 and k % 10 < 9)
+    assert (q.weights(docs, q.target_ids(labels.unionByName(labels))) == q.to_weights(good, raw)).all()

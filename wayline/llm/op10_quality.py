@@ -5,9 +5,9 @@ and the raw corpus. A document's score is the sum of log(target / raw) over its
 n-grams, divided by their number, so that long and short texts compare. It is
 kept if it passes the base rules and its score is at or above the threshold.
 
-Raw counts cover every document. The target is fitted on at most TARGET_ROWS
-trusted documents, those with the smallest hash of their id, so what is sent to
-executors has a fixed size: 8 bytes per trusted id, 8 per bucket.
+Raw counts cover every document and target counts every trusted one: documents
+meet the trusted ids in a join, and one pass over the texts counts both. What is
+sent to executors has a fixed size, 8 bytes per bucket.
 
 Null text counts as empty; an empty text fails the base rules and scores 0. An
 empty table returns no rows. Repeated rows are judged one by one. Without any
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from wayline.llm import frames
 from wayline.llm.words import SLICE, TRAILING, covered, repeated, slices, span_hashes, sums
 
-#: Trusted documents at most, bytes of an n-gram, buckets, the least score of a kept document.
-TARGET_ROWS, NGRAM, BUCKETS, THRESHOLD = 20_000, 4, 1 << 15, -0.3
+#: Bytes of an n-gram, buckets, the least score of a kept document.
+NGRAM, BUCKETS, THRESHOLD = 4, 1 << 15, -0.3
 #: Weights are whole multiples of 1 / UNIT: sums of them are exact in any order and any batch.
 UNIT = 1 << 20
 
@@ -54,21 +54,19 @@ def grams(data: np.ndarray, cut: np.ndarray, n: int = NGRAM, buckets: int = BUCK
     return h[inside], at[np.minimum(cut, len(h))]
 
 
-def target_ids(labels: DataFrame, rows: int = TARGET_ROWS) -> np.ndarray:
-    """Sorted ids of at most rows documents labelled good, those with the smallest hash of their id."""
-    got = labels.where("quality = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()
-    return np.array(sorted(r[0] for r in got if r[0] is not None), np.int64)
+def target_ids(labels: DataFrame) -> DataFrame:
+    """The distinct ids (doc_id) of all documents labelled good."""
+    return labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
 
 
-def weights(docs: DataFrame, trusted: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
-    """log(target / raw) of each bucket in units of 1 / UNIT, from one pass over all documents."""
+def weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+    """log(target / raw) of each bucket in units of 1 / UNIT, from one pass over all documents; trusted has distinct ids."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, good = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for b in batches:
-            ids = b.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
-            mine = np.isin(ids, trusted)
-            for i, j, w in slices(b.column(1)):
+            mine = b.column(1).to_numpy(zero_copy_only=False)
+            for i, j, w in slices(b.column(0)):
                 g, at = grams(w.data, w.cut)
                 raw += np.bincount(g, minlength=buckets)
                 for k in np.flatnonzero(mine[i:j]):
@@ -76,7 +74,9 @@ def weights(docs: DataFrame, trusted: np.ndarray, buckets: int = BUCKETS) -> np.
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(good[some]), pa.array(raw[some])], names=["bucket", "good", "raw"])
 
-    rows = frames.texts(docs).mapInArrow(count, "bucket int, good long, raw long").groupBy("bucket").agg(F.sum("good"), F.sum("raw")).collect()
+    known = trusted.select(F.col("doc_id").alias("trusted_id")).hint("shuffle_hash")  # the ids grow with the corpus; texts are not sorted
+    marked = frames.texts(docs).join(known, F.col("doc_id") == F.col("trusted_id"), "left").select("text", F.col("trusted_id").isNotNull().alias("good"))
+    rows = marked.mapInArrow(count, "bucket int, good long, raw long").groupBy("bucket").agg(F.sum("good"), F.sum("raw")).collect()
     good, raw = np.zeros(buckets), np.zeros(buckets)
     for k, g, r in rows:
         good[k], raw[k] = g, r
