@@ -106,7 +106,8 @@ _E = "e AS (SELECT event_id, user_id, event_type, value, epoch_us(ts) AS t_us, C
 def outage_periodic(spark, d):
     """An outage every four days with cycling lengths, while the longest fits before the session's end."""
     s = events(spark, d).groupBy("user_id").agg(F.min("t_us").alias("a"), F.max("t_us").alias("b"))
-    s = s.select("user_id", "a", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))).alias("outage"))
+    last = F.floor((F.col("b") - F.col("a") - DAY) / (4 * DAY))
+    s = s.where(F.col("a") + DAY < F.col("b")).select("user_id", "a", "b", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("outage"))
     start = F.col("a") + F.col("outage") * 4 * DAY
     length = F.when(F.col("outage") % 3 == 0, 6 * HOUR).when(F.col("outage") % 3 == 1, 12 * HOUR).otherwise(DAY)
     return s.where(start + DAY < F.col("b")).select("user_id", "outage", start.alias("start_us"), (start + length).alias("end_us"))
