@@ -1,5 +1,6 @@
-"""Outages beyond the sizes of the given tables, against plain versions."""
+"""Outages and routes beyond the sizes of the given tables, against plain versions."""
 
+from wayline.operators import spatial
 from wayline.plans import q_spatial as q
 
 
@@ -15,3 +16,10 @@ def test_outages_go_on_to_the_end_of_a_session(spark, tmp_path):
             want.append((u, k, k * 4 * q.DAY, k * 4 * q.DAY + (6 * q.HOUR, 12 * q.HOUR, q.DAY)[k % 3]))
             k += 1
     assert sorted(map(tuple, q.outage_periodic(spark, str(tmp_path)).collect())) == want
+
+
+def test_routes_of_many_short_edges(spark):
+    q._checkpoints(spark)
+    edges = spark.createDataFrame([(k, k + 1, 10.0) for k in range(70)] + [(0, 66, 665.0)], "a long, b long, w double")
+    got = spatial.bounded_routes(edges, spark.createDataFrame([(0,)], "node_id long"), 670.0)
+    assert sorted(map(tuple, got.collect())) == [(0, k, 10.0 * k) for k in range(68)]

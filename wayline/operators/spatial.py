@@ -52,22 +52,21 @@ def candidates(points: DataFrame, segments: DataFrame, radius: float, cell: floa
     return hit.where(F.col("p.distance") <= radius).select("point_id", "segment_id", F.col("p.fraction").alias("fraction"), F.col("p.distance").alias("distance"))
 
 
-def bounded_routes(edges: DataFrame, sources: DataFrame, cutoff: float, rounds: int = 64) -> DataFrame:
+def bounded_routes(edges: DataFrame, sources: DataFrame, cutoff: float) -> DataFrame:
     """Shortest lengths (source, node, length) up to cutoff over edges (a, b, w > 0), by relaxation until nothing changes."""
     from pyspark import StorageLevel  # noqa: F401
 
     known = sources.select(F.col("node_id").alias("source"), F.col("node_id").alias("node"), F.lit(0.0).alias("length"))
     frontier = known
-    for _ in range(rounds):
+    while True:
         step = frontier.join(edges, frontier["node"] == edges["a"]).select("source", F.col("b").alias("node"), (F.col("length") + F.col("w")).alias("length"))
         step = step.where(F.col("length") <= cutoff).groupBy("source", "node").agg(F.min("length").alias("length"))
         old = known.withColumnRenamed("length", "old")
         better = step.join(old, ["source", "node"], "left").where("old IS NULL OR length < old - 1e-9").select("source", "node", "length").checkpoint()
         if better.isEmpty():
-            break
+            return known
         known = known.unionByName(better).groupBy("source", "node").agg(F.min("length").alias("length")).checkpoint()
         frontier = better
-    return known
 
 
 def connected(edges: DataFrame) -> DataFrame:
