@@ -37,3 +37,14 @@ def docs_of(spark):
         return spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in zip(ids, texts)], DOCS)
 
     return make
+
+
+@pytest.fixture(scope="session")
+def thue_morse():
+    """Two words of a length: a Thue-Morse sequence of a and b and its complement, alike to any polynomial modulo 2**64."""
+
+    def make(size):
+        a = "".join("ab"[k.bit_count() & 1] for k in range(size))
+        return a, a.translate(str.maketrans("ab", "ba"))
+
+    return make

@@ -3,7 +3,7 @@ import random
 import re
 from collections import Counter
 
-from wayline.llm.op05_substring import WINDOW, substring_dedup
+from wayline.llm.op05_substring import ENTRY_BYTES, MOST_BYTES, ROW_ENTRIES, WINDOW, dealt, substring_dedup
 
 
 def brute(texts):
@@ -50,3 +50,24 @@ def test_repeated_rows_and_empty_table(docs_of, spark):
     assert substring_dedup(docs_of([])).count() == 0
     more = docs_of(["a b"]).selectExpr("*", "1 as blk", "'x' as n_words", "2 as part")
     assert substring_dedup(more).count() == 1
+
+
+def test_different_words_of_equal_structure_stay(docs_of, thue_morse):
+    a, b = thue_morse(1024)
+    texts = [" ".join([f"w{i}" for i in range(34)] + [x]) for x in (a, b)]
+    assert run(substring_dedup(docs_of(texts))) == dict(enumerate(brute(texts)))
+
+
+def test_a_very_long_text(docs_of):
+    r = random.Random(3)
+    w = [str(r.randrange(50_000)) for _ in range(300_000)]
+    w[250_000:250_060] = w[1_000:1_060]
+    assert run(substring_dedup(docs_of([" ".join(w), "a b", " ".join(w[5_000:5_040])]))) == dict(enumerate(brute([" ".join(w), "a b", " ".join(w[5_000:5_040])])))
+
+
+def test_rows_carry_many_entries_at_any_size():
+    for size in (0, 10**8, 10**10, 10**12, 10**14):
+        blocks, parts = dealt(size)
+        assert size / blocks <= MOST_BYTES and size / parts <= MOST_BYTES
+        if 10**9 < size <= 10**12:
+            assert size / blocks / ENTRY_BYTES / parts >= ROW_ENTRIES / 2

@@ -71,13 +71,41 @@ def test_a_dense_group_over_many_blocks(docs_of, monkeypatch):
     assert got == {i: c for i, (_, c) in enumerate(brute(texts, 85))}
 
 
+def test_a_large_bucket_gets_longer_bands(docs_of, monkeypatch):
+    from wayline.llm import op07_minhash
+
+    monkeypatch.setattr(op07_minhash, "LARGE", 6)
+    r = random.Random(11)
+    frequent = [f"f{i}" for i in range(60)]
+    texts = []
+    for k in range(60):  # half of each text is shared by all: similar at about a third, so buckets are large and mixed
+        own = [f"x{k // 2}y{i}" for i in range(60)]
+        if k % 2:
+            own[r.randrange(60)] = "other"
+        texts.append(" ".join(frequent + own))
+    texts.append("a very long text " + " ".join(f"l{i}" for i in range(200_000)))
+    got = {d.doc_id: d.component_id for d in near_components(docs_of(texts), 85).collect()}
+    assert got == {i: c for i, (_, c) in enumerate(brute(texts, 85))}
+
+
+def test_different_words_of_equal_structure_are_not_linked(docs_of, thue_morse):
+    for size in (1024, 2048):
+        a, b = thue_morse(size)
+        got = {d.doc_id: (d.n_shingles, d.component_id) for d in near_components(docs_of([a, b, a + " x " + b, b + " x " + a]), 80).collect()}
+        assert got == {k: (1, k) for k in range(4)}
+
+
 def test_rows_without_use(docs_of, spark):
     text = "one two three four five six"
     rows = near_components(docs_of([text, text, text], ids=[None, 4, 4])).collect()
     assert sorted((r.doc_id or -1, r.component_id, r.kept) for r in rows) == [(-1, None, True), (4, 4, True), (4, 4, True)]
+    rows = near_components(docs_of([text, text, "seven eight nine ten", "seven eight nine ten", "alone"], ids=[1, 4, 4, 9, 10])).collect()
+    assert sorted((r.doc_id, r.component_id) for r in rows) == [(1, 1), (4, 1), (4, 1), (9, 1), (10, 10)]
     assert near_components(docs_of([])).count() == 0
     kept = keep_firsts(docs_of([text, "other", text, None], ids=[5, 6, 7, None]).selectExpr("*", "1 as rep", "2 as kept"))
     assert kept.columns[-2:] == ["rep", "kept"] and sorted(str(r.doc_id) for r in kept.collect()) == ["5", "6", "None"]
+    again = keep_firsts(docs_of([text, text, "other words", None], ids=[4, 4, 4, 9]).selectExpr("*", "1 as c0", "2 as gone", "3 as twice"))
+    assert again.columns[-3:] == ["c0", "gone", "twice"] and sorted((r.doc_id, r.text) for r in again.select("doc_id", "text").collect()) == [(4, text), (9, None)]
 
 
 def test_components_of_a_path(spark):

@@ -1,4 +1,3 @@
-import fnmatch
 import random
 import re
 
@@ -16,7 +15,7 @@ def test_automaton_against_regular_expressions():
     globs = ["".join(r.choice(["a", "b", "/", ".", "*", "**"]) for _ in range(r.randint(1, 12))) for _ in range(60)]
     texts = ["".join(r.choice("ab/.") for _ in range(r.randint(0, 14))) for _ in range(500)]
     raw = [t.encode() for t in texts]
-    got = Automaton.of(globs).match(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    got = Automaton.of([], globs).match(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
     want = [[bool(regex_of(g).fullmatch(t)) for g in globs] for t in texts]
     assert got.tolist() == want and got.any() and not got.all()
 
@@ -41,3 +40,22 @@ def test_rules(spark):
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filters(df).collect()}
     assert got == {i: plain(u) for i, u in enumerate(urls)}
     assert url_filters(df.where("false")).count() == 0
+
+
+def test_random_rules_against_a_plain_version(spark):
+    r = random.Random(8)
+    part = lambda n: "".join(r.choice("ab.é*") for _ in range(r.randint(1, n)))
+    rules = [(r.choice(("block", "allow")), part(3).strip(".") or "a", "/" + part(2) * r.randint(0, 1)) for _ in range(40)]
+    rules += [("block" if v == "allow" else "allow", h, p) for v, h, p in rules[:5]]  # ties: the first of the list decides
+    urls = [f"x://{part(6)}/{part(4)}{r.choice(['', '?q', '#f'])}" for _ in range(600)] + ["x://a/" + "b" * 100_000]
+
+    def plain(url):
+        host, path = canonical(url)
+        fit = [(len(h + p), -k) for k, (_, h, p) in enumerate(rules) if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = rules[-max(fit)[1]] if fit else None
+        return (best[1] + best[2], best[0]) if best else (None, "allow")
+
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {x.page_id: (x.rule, x.verdict) for x in url_filters(df, rules, blocked=()).collect()}
+    assert got == {i: plain(u) for i, u in enumerate(urls)}
+    assert sum(x is not None for x, _ in got.values()) > 100

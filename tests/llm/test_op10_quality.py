@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 
 from wayline.llm import op10_quality as q
+from wayline.llm.words import classes
 
 
 def plain(t):
@@ -31,6 +32,23 @@ def test_base_counts_against_plain_versions():
     assert list(zip(*(got[k].tolist() for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")))) == [plain(t) for t in texts]
 
 
+def test_different_words_of_equal_structure(thue_morse):
+    texts = []
+    for size in (1024, 2048):
+        a, b = thue_morse(size)
+        texts += [f"{a}\n{b}", f"{a}\n{b}\n{a}", " ".join([a] * 8 + [b] * 8), " ".join([a] * 8 + [b] + [a] * 8)]
+    texts.append("long " * 300_000 + "\n" + "line " * 200_000)
+    got = q.judge(pa.array(texts, pa.string()), np.zeros(q.BUCKETS, np.int64))
+    assert list(zip(*(got[k].tolist() for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")))) == [plain(t) for t in texts]
+
+
+def test_equal_keys_of_different_spans_are_told_apart():
+    data = np.frombuffer(b"abcdabxyabcd", np.uint8)
+    starts, ends = np.array([0, 4, 8, 2, 6, 0]), np.array([2, 6, 10, 4, 8, 2])
+    got = classes(np.zeros(6, np.uint64), np.array([0, 0, 0, 0, 0, 1]), data, starts, ends)
+    assert got[0] == got[1] == got[2] and len(set(got.tolist())) == 4
+
+
 def test_scores_do_not_depend_on_the_batch():
     r = np.random.default_rng(0)
     weight = r.integers(-(10**6), 10**6, q.BUCKETS)

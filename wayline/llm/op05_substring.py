@@ -8,20 +8,22 @@ shift d < P such that i + d and j + d both fall on D. So two equal windows share
 an anchor of WINDOW - P + 1 words that starts on a cover position in both. The
 plan, all of it lazy and recoverable:
 
-1. Documents go to blocks by the hash of their id (one exchange of the text,
-   which the later steps reuse).
+1. Documents go to blocks by the hash of their id and text (one exchange of the
+   text, which the later steps reuse), so that null or repeated ids spread.
 2. Each block hashes its anchors, settles repeats within itself, and sends one
    entry for each distinct hash, so a passage that a third of all documents
    share gives one entry a block, not one a document.
 3. Anchor hashes met in two blocks or more go back to their blocks.
 4. Each block extends its repeated anchors to the windows around them and sends
-   80-bit hashes of those, again one entry for each distinct window.
+   128-bit BLAKE2b digests of their true words, again one for each distinct window.
 5. Repeated windows go back to their blocks, which remove the words covered.
 
-Entries travel as packed arrays, a row for each pair of block and part. Parts
-and blocks grow with the input, so none of them grows. Null and empty texts have
-no words; repeated rows of a document count as copies of each other; an empty
-table returns no rows.
+Hashes only propose; digests of the words themselves decide. Entries travel as
+packed arrays, a row for each pair of block and part. Blocks and parts grow in
+number with the input, and slowly in size (with its root, up to MOST_BYTES), so
+that a row carries many entries. Null and empty texts have no words; repeated
+rows of a document count as copies of each other; a very long text is one slice
+of its block and is never cut; an empty table returns no rows.
 """
 
 from __future__ import annotations
@@ -40,8 +42,10 @@ from wayline.llm.words import Words, covered, repeated, slices, sums, window_has
 
 WINDOW, PERIOD, COVER = 35, 21, (0, 1, 4, 14, 16)
 ANCHOR = WINDOW - PERIOD + 1
-#: Bytes of input for each block of documents and for each part of the hash space.
-BLOCK_BYTES, PART_BYTES = 3 << 20, 8 << 20
+#: Bytes of text for each block of documents and for each part of the hash space, and the most of either.
+BLOCK_BYTES, PART_BYTES, MOST_BYTES = 6 << 20, 16 << 20, 64 << 20
+#: Entries of one row at least, and bytes of text for each entry (five anchors to PERIOD words).
+ROW_ENTRIES, ENTRY_BYTES = 50, 25
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 _SENT = "part int, blk int, n int, keys binary, local binary"
@@ -67,24 +71,36 @@ def _anchors(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return pos, window_hashes(w.hashes, pos, ANCHOR)
 
 
+def _ordered(keys: np.ndarray) -> np.ndarray:
+    return np.lexsort((keys["b"], keys["a"])) if keys.dtype.names else np.argsort(keys, kind="stable")
+
+
+def dealt(size: int) -> tuple[int, int]:
+    """Numbers of blocks and parts for size bytes of text."""
+    # a block of b bytes sends b / ENTRY_BYTES entries in size / p rows, p the bytes of a part
+    even = math.isqrt(ROW_ENTRIES * ENTRY_BYTES * size)
+    return tuple(max(8, math.ceil(size / min(MOST_BYTES, max(least, even)))) for least in (BLOCK_BYTES, PART_BYTES))
+
+
 def _sent(keys: np.ndarray, blk: int, parts: int) -> pa.Table:
     """The distinct keys of a block dealt to parts, with a flag for those met twice within the block."""
-    order = np.argsort(keys, kind="stable")
+    order = _ordered(keys)
     s = keys[order]
     head = np.ones(len(s), bool)
     head[1:] = s[1:] != s[:-1]
     distinct = s[head]
     many = np.diff(np.append(np.flatnonzero(head), len(s))) > 1
     part = _part(distinct, parts)  # ordered, as keys are
-    edge = np.searchsorted(part, np.arange(parts + 1))
-    rows = [p for p in range(parts) if edge[p + 1] > edge[p]]
+    rows, start = np.unique(part, return_index=True)
+    rows, edge = rows.tolist(), np.append(start, len(part)).tolist()
+    spans = list(zip(edge[:-1], edge[1:], strict=True))
     return pa.table(
         {
             "part": pa.array(rows, pa.int32()),
             "blk": pa.array([blk] * len(rows), pa.int32()),
-            "n": pa.array([int(edge[p + 1] - edge[p]) for p in rows], pa.int32()),
-            "keys": pa.array([distinct[edge[p] : edge[p + 1]].tobytes() for p in rows], pa.binary()),
-            "local": pa.array([np.packbits(many[edge[p] : edge[p + 1]]).tobytes() for p in rows], pa.binary()),
+            "n": pa.array([b - a for a, b in spans], pa.int32()),
+            "keys": pa.array([distinct[a:b].tobytes() for a, b in spans], pa.binary()),
+            "local": pa.array([np.packbits(many[a:b]).tobytes() for a, b in spans], pa.binary()),
         }
     )
 
@@ -101,7 +117,7 @@ def _shared(dtype: np.dtype):
         blocks, counts = t["blk"].to_numpy(), t["n"].to_numpy()
         keys = np.concatenate([np.frombuffer(x, dtype) for x in t["keys"].to_pylist()])
         many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(t["local"].to_pylist(), counts.tolist(), strict=True)])
-        hit = repeated(keys) | many.astype(bool)
+        hit = _repeated(keys) | many.astype(bool)
         cut = np.append(0, np.cumsum(counts))
         return pa.table(
             {
@@ -114,26 +130,48 @@ def _shared(dtype: np.dtype):
     return run
 
 
+def _repeated(keys: np.ndarray) -> np.ndarray:
+    if not keys.dtype.names:
+        return repeated(keys)
+    order = _ordered(keys)
+    s = keys[order]
+    same = s[1:] == s[:-1]
+    out = np.zeros(len(keys), bool)
+    out[order[1:]] = same
+    out[order[:-1]] |= same
+    return out
+
+
 def _found(keys: np.ndarray, back: pa.Table, parts: int) -> np.ndarray:
     """A mask of this block's keys that the parts found repeated."""
-    order = np.argsort(keys, kind="stable")
+    order = _ordered(keys)
     s = keys[order]
     head = np.ones(len(s), bool)
     head[1:] = s[1:] != s[:-1]
     group = np.cumsum(head) - 1
     part = _part(s[head], parts)
-    edge = np.searchsorted(part, np.arange(parts + 1))
     hit = np.zeros(len(part), bool)
-    for p, bits in zip(back["part"].to_pylist(), back["hits"].to_pylist(), strict=True):
-        n = int(edge[p + 1] - edge[p])
-        hit[edge[p] : edge[p + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
+    asked = back["part"].to_numpy()
+    lo, hi = np.searchsorted(part, asked), np.searchsorted(part, asked, "right")
+    for a, b, bits in zip(lo.tolist(), hi.tolist(), back["hits"].to_pylist(), strict=True):
+        hit[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
     out = np.zeros(len(keys), bool)
     out[order] = hit[group]
     return out
 
 
-#: A window's key: 64 bits and 16 more. Two windows of 10**13 agree by chance in all 80 about 40 times.
-_KEY = np.dtype([("a", "<u8"), ("b", "<u2")])
+#: A window's key: the two halves of a digest of its words.
+_KEY = np.dtype([("a", "<u8"), ("b", "<u8")])
+
+
+def window_keys(w: Words, at: np.ndarray, m: int = WINDOW) -> np.ndarray:
+    """Digests of the true words of the windows at[k]:at[k] + m, joined by one space."""
+    if not len(at):
+        return np.zeros(0, _KEY)
+    data, to = w.joined()
+    view, digest = memoryview(data), hashlib.blake2b
+    spans = zip(to[at].tolist(), (to[at + m] - 1).tolist(), strict=True)
+    return np.frombuffer(b"".join([digest(view[a:b], digest_size=16).digest() for a, b in spans]), _KEY)
 
 
 class _Block:
@@ -166,20 +204,14 @@ class _Block:
                 start = np.cumsum(edge[:total]) > 0
             last = np.repeat(w.first[1:], w.n)
             at = np.flatnonzero(start & (np.arange(total) + WINDOW <= last))
-            key = np.empty(len(at), _KEY)
-            key["a"] = window_hashes(w.hashes, at, WINDOW)
-            other = w.hashes ^ (w.hashes >> np.uint64(29))
-            key["b"] = (window_hashes(other, at, WINDOW) >> np.uint64(40)).astype(np.uint16)
-            yield i, j, w, at, key
+            yield i, j, w, at, window_keys(w, at)
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: SCHEMA and the kept text."""
-    size = frames.text_bytes(docs)
     docs = frames.texts(docs)
-    blocks = max(8, math.ceil(size / BLOCK_BYTES))
-    parts = max(8, math.ceil(size / PART_BYTES))
-    base = docs.withColumn("blk", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+    blocks, parts = dealt(frames.text_bytes(docs))
+    base = docs.withColumn("blk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
 
     def send_anchors(key, t):
         return _sent(_Block(t).anchors(), key[0].as_py(), parts)
@@ -229,18 +261,8 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
 def _kept(w: Words, gone: np.ndarray) -> list[bytes]:
     """The kept words of each document, joined by one space."""
     keep = ~gone
-    starts, ends = w.starts[keep], w.ends[keep]
-    size = ends - starts
-    first = np.searchsorted(np.flatnonzero(keep), w.first)
-    # each kept word and a space behind it, gathered in one pass
-    total = int((size + 1).sum())
-    out = np.full(total, 0x20, np.uint8)
-    to = np.cumsum(size + 1) - (size + 1)
-    index = np.repeat(starts - to, size + 1) + np.arange(total)
-    word = np.ones(total, bool)
-    word[to + size] = False
-    out[word] = w.data[index[word]]
-    edge = np.append(to, total)[first]
+    out, to = w.joined(keep)
+    edge = to[np.searchsorted(np.flatnonzero(keep), w.first)]
     data = out.tobytes()
     return [data[edge[k] : max(edge[k], edge[k + 1] - 1)] for k in range(len(w.n))]
 

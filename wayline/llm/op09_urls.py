@@ -9,10 +9,16 @@ together, column of characters by column.
 
 The canonical URL is ``host`` + ``path``: the host after the first ``://`` up to
 ``/``, ``?``, ``#`` or the end, A-Z lower-cased; the path then up to ``?``, ``#``
-or the end. A null URL or one without ``://`` has an empty host and path; no
-rule fits it. Of the host rules that fit, the longest decides; where none fits,
-a URL is blocked if a glob of the block list matches it, else allowed. Repeated
-rows are judged one by one; an empty table returns no rows.
+or the end. Between the two the automaton reads one byte that no UTF-8 text
+holds: host rules name it, so that they end where the host ends; globs pass over
+it. The automaton alone decides which rules fit.
+
+A null URL or one without ``://`` has an empty host and path; no rule fits it. Of
+the host rules that fit, the longest decides, and of equally long ones the first
+of the list; where none fits, a URL is blocked if a glob of the block list
+matches it, else allowed. Repeated rows are judged one by one; a very long URL
+is one row of its batch; other columns, whatever their names, are not read; an
+empty table returns no rows.
 """
 
 from __future__ import annotations
@@ -34,6 +40,10 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 BLOCKED = ("**spam-farm.**", "**cheap-pills.**", "**casino*.*/**", "*/**.exe", "*/**.apk")
 
 
+#: Between host and path.
+EDGE = 0xFF
+
+
 @dataclass(frozen=True)
 class Automaton:
     """Masks of n rules over w words: what each byte lets pass, where runs may stay, where rules start and end."""
@@ -41,32 +51,42 @@ class Automaton:
     step: np.ndarray  # [256, w] positions that a byte moves into
     stay: np.ndarray  # [256, w] positions in which a byte may remain (wildcards)
     start: np.ndarray  # [w]
-    jump: np.ndarray  # [w] positions that may be passed without a byte (wildcards)
-    final: np.ndarray  # [n] bit of each rule's end, as word and bit
-    words: int
+    final: np.ndarray  # [n] bit of each rule's end
 
     @staticmethod
-    def of(globs: list[str]) -> Automaton:
-        symbols: list[list[str]] = [re.findall(r"\*\*|\*|.", g, re.S) for g in globs]
+    def of(hosts: list[tuple[str, str]], globs: list[str]) -> Automaton:
+        """One rule for each (host, path), on the host and its subdomains, then one for each glob."""
+        edge = bytes([EDGE])
+        symbols: list[tuple[list[bytes | str], bool]] = []  # wildcards are str; and whether a rule passes over the edge
+        for host, path in hosts:
+            own = [bytes([c]) for c in host.encode() + edge + path.encode()] + ["**"]
+            symbols += [(own, False), (["**", b".", *own], False)]
+        symbols += [(_symbols(g), True) for g in globs]
         # position 0 of each rule is its start; a wildcard is a loop on the position before it
-        size = sum(1 + sum(not s.startswith("*") for s in r) for r in symbols)
+        size = sum(1 + sum(isinstance(s, bytes) for s in r) for r, _ in symbols)
         w = max(1, -(-size // 64))
         step, stay = np.zeros((256, w), np.uint64), np.zeros((256, w), np.uint64)
         start, final = np.zeros(w, np.uint64), []
+        text = np.arange(256) != EDGE
         at = 0
-        for r in symbols:
+        for r, over in symbols:
+            first = at
             start[at // 64] |= np.uint64(1 << (at % 64))
             for s in r:
-                if s.startswith("*"):
-                    for c in range(256):
-                        if s == "**" or c != 0x2F:
-                            stay[c, at // 64] |= np.uint64(1 << (at % 64))
+                bit = np.uint64(1 << (at % 64))
+                if s == "**":
+                    stay[text if not over else slice(None), at // 64] |= bit
+                elif s == "*":
+                    stay[text & (np.arange(256) != 0x2F), at // 64] |= bit
                 else:
                     at += 1
-                    step[s.encode()[0], at // 64] |= np.uint64(1 << (at % 64))
+                    step[s[0], at // 64] |= np.uint64(1 << (at % 64))
+            if over:
+                for k in range(first, at + 1):
+                    stay[EDGE, k // 64] |= np.uint64(1 << (k % 64))
             final.append(at)
             at += 1
-        return Automaton(step, stay, start, np.zeros(w, np.uint64), np.array(final), w)
+        return Automaton(step, stay, start, np.array(final))
 
     def match(self, data: np.ndarray, cut: np.ndarray) -> np.ndarray:
         """[texts, rules]: whether a rule matches a whole text of bytes."""
@@ -90,6 +110,11 @@ class Automaton:
         return out
 
 
+def _symbols(glob: str) -> list[bytes | str]:
+    """The symbols of a glob: wildcards, and every byte of all else."""
+    return [x for s in re.findall(r"\*\*|\*|[^*]", glob) for x in ([s] if s[0] == "*" else [bytes([c]) for c in s.encode()])]
+
+
 def canonical(url: str | None) -> tuple[str, str]:
     """Host and path of a URL, both empty without ``://``."""
     if url is None or (k := url.find("://")) < 0:
@@ -100,24 +125,21 @@ def canonical(url: str | None) -> tuple[str, str]:
 
 def url_filters(pages: DataFrame, rules=RULES, blocked=BLOCKED, batch: int = 4096) -> DataFrame:
     """One row of SCHEMA for each row of pages (page_id, url). Rules are few and sent with the code."""
-    # Bytes that are not ASCII are one symbol each; globs are ASCII.
-    globs = [g for _, host, path in rules for g in (f"{host}{path}**", f"**.{host}{path}**")]
+    # by falling priority: the longest rule first, of equals the first of the list
+    rules = sorted(rules, key=lambda r: -len(r[1] + r[2]))
     names = [f"{host}{path}" for _, host, path in rules]
     verdicts = [v for v, _, _ in rules]
-    by_length = sorted(range(len(rules)), key=lambda i: len(names[i]))
-    machine = Automaton.of(globs + list(blocked))
+    machine = Automaton.of([r[1:] for r in rules], list(blocked))
+    n = len(rules)
 
     def judge(urls: list[str | None]) -> list[tuple[str, str, str | None, str]]:
         parts = [canonical(u) for u in urls]
-        raw = [(h + p).encode() for h, p in parts]
+        raw = [h.encode() + bytes([EDGE]) + p.encode() for h, p in parts]
         cut = np.cumsum([0, *map(len, raw)])
         hit = machine.match(np.frombuffer(b"".join(raw), np.uint8), cut)
-        bad = hit[:, 2 * len(rules) :].any(axis=1)
-        rule = np.full(len(urls), -1)
-        for i in by_length:
-            inside = np.array([len(h) for h, _ in parts])  # the host part of a rule must end with the host
-            fits = (hit[:, 2 * i] | hit[:, 2 * i + 1]) & np.array([p.startswith(rules[i][2]) and (h == rules[i][1] or h.endswith("." + rules[i][1])) for h, p in parts], bool) & (inside > 0)
-            rule[fits] = i
+        bad = hit[:, 2 * n :].any(axis=1)
+        fits = hit[:, : 2 * n].reshape(len(urls), n, 2).any(axis=2)
+        rule = np.where(fits.any(axis=1), fits.argmax(axis=1), -1) if n else np.full(len(urls), -1)
         return [(h, p, names[r] if r >= 0 else None, verdicts[r] if r >= 0 else "block" if b else "allow") for (h, p), r, b in zip(parts, rule.tolist(), bad.tolist(), strict=True)]
 
     def make(b: pa.RecordBatch) -> dict:

@@ -24,13 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayline.llm import frames
-from wayline.llm.words import SLICE, TRAILING, covered, repeated, slices, span_hashes, sums
+from wayline.llm.words import TRAILING, Words, classes, covered, repeated, slices, span_hashes, sums
 
 #: Bytes of an n-gram, buckets, the least score of a kept document.
 NGRAM, BUCKETS, THRESHOLD = 4, 1 << 15, -0.3
 #: Weights are whole multiples of 1 / UNIT: sums of them are exact in any order and any batch.
 UNIT = 1 << 20
 
+#: Sets the keys of different texts apart.
+_TEXT = np.uint64(0xD6E8FEB86659FD93)
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -104,8 +106,7 @@ def judge(texts: pa.Array, weight: np.ndarray, threshold: float = THRESHOLD) ->
         out["n_symbols"].append(sums(_SYMBOL[w.data], w.cut))
         at, h = w.windows(8)
         text = w.text_of_word()
-        twice = at[repeated(h + text[at].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))] if len(at) else at
-        out["n_repeat_words"].append(sums(covered(twice, 8, total), w.first))
+        out["n_repeat_words"].append(sums(covered(_twice(w, at, h, text), 8, total), w.first))
         out["n_dup_lines"].append(_dup_lines(w))
         g, cut = grams(w.data, w.cut)
         n = np.diff(cut)
@@ -117,7 +118,20 @@ def judge(texts: pa.Array, weight: np.ndarray, threshold: float = THRESHOLD) ->
     return done
 
 
-def _dup_lines(w) -> np.ndarray:
+def _twice(w: Words, at: np.ndarray, h: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """The starts, among at, of windows of eight words that are there twice or more in their text: hashes propose, words decide."""
+    if not len(at):
+        return at
+    keys = h + text[at].astype(np.uint64) * _TEXT
+    some = np.flatnonzero(repeated(keys))
+    if not len(some):
+        return at[:0]
+    data, to = w.joined()
+    same = classes(keys[some], text[at[some]], data, to[at[some]], to[at[some] + 8])
+    return at[some[repeated(same)]]
+
+
+def _dup_lines(w: Words) -> np.ndarray:
     """For each text, the lines with a word that equal an earlier line of it."""
     n = len(w.n)
     breaks = np.flatnonzero(w.data == 10)
@@ -131,11 +145,12 @@ def _dup_lines(w) -> np.ndarray:
     word = np.searchsorted(w.starts, ends) > np.searchsorted(w.starts, starts)
     starts, ends = starts[word], ends[word]
     text = np.searchsorted(w.cut, starts, "right") - 1
-    keys = span_hashes(w.data, starts, ends) + text.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    _, first = np.unique(keys, return_index=True)
-    later = np.ones(len(keys), bool)
+    keys = span_hashes(w.data, starts, ends) + text.astype(np.uint64) * _TEXT
+    some = np.flatnonzero(repeated(keys))
+    _, first = np.unique(classes(keys[some], text[some], w.data, starts[some], ends[some]), return_index=True)
+    later = np.ones(len(some), bool)
     later[first] = False
-    return np.bincount(text[later], minlength=n)
+    return np.bincount(text[some[later]], minlength=n)
 
 
 def quality_rules(docs: DataFrame, weight: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:

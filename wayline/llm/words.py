@@ -2,10 +2,13 @@
 
 A word is a maximal run of characters other than space and 0x09-0x0D. These are
 single bytes in UTF-8 and never part of another character, so words are found
-on the bytes. Hashes are 64-bit: polynomial prefix sums modulo 2**64 over a
-random value per byte (or per word), shifted to a common origin and mixed.
-Texts are taken in slices of bounded size, so memory does not follow the length
-of a text or the number of texts.
+on the bytes. Hashes are polynomials over two prime fields of 31 bits, from
+prefix sums shifted to a common origin: two different spans of n values agree
+with probability (n / 2**31)**2 over the choice of bases, whatever the values.
+(A polynomial modulo 2**64 would give some different spans equal hashes for
+every base.) Where equality decides a result, ``classes`` and ``joined`` compare
+the true words. Texts are taken in slices of bounded size, so memory does not
+follow the length of a text or the number of texts.
 """
 
 from __future__ import annotations
@@ -18,10 +21,12 @@ import pyarrow as pa
 
 #: Bytes of text that are hashed at once.
 SLICE = 1 << 20
-#: Odd multipliers of the polynomial and of the mixer.
-_BASE = 0x9E3779B97F4A7C15
+#: The prime of the fields, and a base for each.
+_P = np.uint64((1 << 31) - 1)
+_BASES = (1_284_865_837, 1_752_073_949)
+#: Odd multipliers of the mixer.
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_LENGTH = np.uint64(0x9E3779B97F4A7C15)
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -30,20 +35,19 @@ TRAILING = np.zeros(256, bool)
 TRAILING[0x80:0xC0] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_VALUE = np.random.default_rng(20240611).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_VALUES = np.random.default_rng(20240611).integers(1, (1 << 31) - 1, (2, 256), dtype=np.uint64)
 
-_powers: dict[str, np.ndarray] = {}
+_powers: dict[int, np.ndarray] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse."""
-    if len(_powers.get("up", ())) < n:
-        size = max(SLICE + 64, n)
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _powers[name] = np.multiply.accumulate(p)
-    return _powers["up"][:n], _powers["down"][:n]
+def powers(base: int, n: int) -> np.ndarray:
+    """The first n powers of base in the field."""
+    if len(_powers.get(base, ())) < n:
+        p = np.ones(1, np.uint64)
+        while len(p) < max(SLICE + 64, n):
+            p = np.concatenate([p, p * np.uint64(pow(base, len(p), int(_P))) % _P])
+        _powers[base] = p
+    return _powers[base][:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -56,13 +60,17 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of values[start:end] for each pair; values: uint64, at most SLICE or so of them."""
-    n = len(values)
-    up, down = powers(n + 1)
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * up[:n], out=prefix[1:])
-    return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def runs(fields: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the values [start:end] for each pair; fields: the values below 2**31 in each field, at most SLICE or so."""
+    out = np.zeros(len(starts), np.uint64)
+    prefix = np.zeros(len(fields[0]) + 1, np.uint64)
+    for base, values in zip(_BASES, fields, strict=True):
+        x = values * powers(base, len(values))
+        x = (x & _P) + (x >> np.uint64(31))  # below 2**33: sums of SLICE of them stay below 2**64
+        np.cumsum(x, out=prefix[1:])
+        down = powers(pow(base, -1, int(_P)), len(prefix))
+        out = (out << np.uint64(31)) | (prefix[ends] - prefix[starts]) % _P * down[starts] % _P
+    return mix(out + (ends - starts).astype(np.uint64) * _LENGTH)
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -76,7 +84,8 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
             out[i] = int.from_bytes(hashlib.blake2b(data[at : int(ends[i])].tobytes(), digest_size=8).digest(), "little")
             i += 1
             continue
-        out[i:j] = runs(_VALUE[data[at : int(ends[j - 1])]], starts[i:j] - at, ends[i:j] - at)
+        part = data[at : int(ends[j - 1])]
+        out[i:j] = runs([v[part] for v in _VALUES], starts[i:j] - at, ends[i:j] - at)
         i = j
     return out
 
@@ -124,6 +133,20 @@ class Words:
     def word(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
 
+    def joined(self, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The words (those that keep marks), each with one space behind it, and their offsets, with the end."""
+        starts, ends = (self.starts, self.ends) if keep is None else (self.starts[keep], self.ends[keep])
+        size = ends - starts + 1
+        to = np.append(0, np.cumsum(size))
+        out = np.full(int(to[-1]), 0x20, np.uint8)
+        word = np.ones(len(out), bool)
+        word[to[1:] - 1] = False
+        inside = np.zeros(len(self.data) + 1, np.int8)
+        inside[starts] = 1  # words of neighbouring texts may touch: one ends where the next starts
+        inside[ends] -= 1
+        out[word] = self.data[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)]
+        return out, to
+
 
 def window_hashes(h: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
     """Hashes of the windows h[i:i+m] for the ordered starts i, in slices."""
@@ -132,7 +155,8 @@ def window_hashes(h: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
     while i < len(at):
         base = int(at[i])
         j = int(np.searchsorted(at, base + SLICE, "left"))
-        out[i:j] = runs(h[base : int(at[j - 1]) + m], at[i:j] - base, at[i:j] - base + m)
+        part = h[base : int(at[j - 1]) + m]
+        out[i:j] = runs([part >> np.uint64(33), part & _P], at[i:j] - base, at[i:j] - base + m)
         i = j
     return out
 
@@ -180,6 +204,54 @@ def repeated(keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def equal_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether data[a:a+size] and data[b:b+size] are equal, for each triple, in pieces of about SLICE bytes."""
+    out = np.ones(len(a), bool)
+    full = np.flatnonzero(size)
+    cut = np.append(0, np.cumsum(size[full]))
+    i = 0
+    while i < len(full):
+        j = max(i + 1, int(np.searchsorted(cut, cut[i] + SLICE, "right")) - 1)
+        some, n = full[i:j], cut[i:j] - cut[i]
+        if j == i + 1:
+            k = int(size[some[0]])
+            out[some[0]] = np.array_equal(data[a[some[0]] : a[some[0]] + k], data[b[some[0]] : b[some[0]] + k])
+        else:
+            step = np.arange(int(cut[j] - cut[i]))
+            same = data[np.repeat(a[some] - n, size[some]) + step] == data[np.repeat(b[some] - n, size[some]) + step]
+            out[some] = np.logical_and.reduceat(same, n)
+        i = j
+    return out
+
+
+def classes(keys: np.ndarray, text: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Numbers of spans, equal where text and bytes are; equal spans must have equal keys.
+
+    Neighbours of one key are compared byte by byte. Where a key holds different spans, these are told apart one by one.
+    """
+    order = np.argsort(keys, kind="stable")
+    s = keys[order]
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    group = np.cumsum(new) - 1
+    out = np.empty(len(keys), np.int64)
+    out[order] = group
+    again = np.flatnonzero(~new)
+    a, b = order[again - 1], order[again]
+    size = ends - starts
+    alike = (text[a] == text[b]) & (size[a] == size[b])
+    alike[alike] = equal_spans(data, starts[a[alike]], starts[b[alike]], size[a[alike]])
+    number = len(keys)
+    for g in np.unique(group[again[~alike]]):
+        seen: dict[tuple[int, bytes], int] = {}
+        lo, hi = np.searchsorted(group, [g, g + 1])
+        for i in order[lo:hi].tolist():
+            key = int(text[i]), hashlib.blake2b(data[starts[i] : ends[i]]).digest()
+            out[i] = seen.setdefault(key, number + len(seen))
+        number += len(seen)
+    return out
+
+
 def covered(starts: np.ndarray, m: int, n: int) -> np.ndarray:
     """A mask of n positions: those in [s, s+m) for any s."""
     edge = np.bincount(starts, minlength=n + 1) - np.bincount(np.minimum(starts + m, n), minlength=n + 1)
