@@ -1,6 +1,7 @@
 import random
 
-from wayline.llm.op01_tokens import Tree, count_tokens, counter, default_vocabulary, revised, with_edits
+from wayline.llm import frames
+from wayline.llm.op01_tokens import Tree, apply_edits, count_tokens, counter, default_vocabulary, revised, trees, with_edits
 
 
 def plain(text, c):
@@ -42,3 +43,19 @@ def test_tables(docs_of, spark):
     rows = count_tokens(revised(df), default_vocabulary()).collect()
     assert len(rows) == 4 and all(r.n_edits == 3 and r.n_tokens_after > 0 for r in rows)
     assert count_tokens(revised(df.where("false")), default_vocabulary()).count() == 0
+
+
+def test_kept_trees_take_edits_again_and_again(spark, docs_of):
+    """Two rounds of edits on stored trees: the sums are those of a recount, and only edited regions are encoded."""
+    v = default_vocabulary()
+    texts = ["one two three four " * 400, "", None, "l'été 1234567 " * 5, "x" * 200_000 + " end"]
+    kept = frames.written(trees(docs_of(texts).selectExpr("*", "1 as tree", "2 as n_chars"), v))
+    for step in range(2):
+        edits = spark.createDataFrame([(i, k, 3 + step, 5 + 7 * k, "new's " * k) for i in range(5) for k in range(3)], "doc_id long, seq int, start long, end long, text string")
+        after = apply_edits(kept.join(with_edits(kept.select("doc_id", "text"), edits).select("doc_id", "edits"), "doc_id"), v)
+        kept = frames.written(after.selectExpr("doc_id", "text", "tree", "n_chars_after n_chars", "n_tokens_after n_tokens", "n_pretokens_after n_pretokens"))
+        again = {r.doc_id: r for r in trees(kept.select("doc_id", "text"), v).collect()}
+        for r in after.collect():
+            a = again[r.doc_id]
+            assert (r.n_chars_after, r.n_tokens_after, r.n_pretokens_after) == (a.n_chars, a.n_tokens, a.n_pretokens)
+            assert r.n_encoded_again < 60

@@ -1,8 +1,9 @@
 import math
 
+import pyarrow.parquet as pq
 import pytest
 
-from wayline.llm.op02_html import Page, extract, main_text
+from wayline.llm.op02_html import _INLINE, _PART, Page, extract, main_text
 
 P1 = "A first paragraph, long enough to be read as the text of an article, with commas and a full stop."
 P2 = "A second one follows it; it is long as well, and has <b>bold</b> and <a href='/x'>linked</a> words."
@@ -27,6 +28,75 @@ def test_pages(page, text):
     assert main_text(page) == text
 
 
+LONG = "".join(f"<p>{P1} Number {i}.</p>" for i in range(4))
+LONG_TEXT = "\n".join(f"{P1} Number {i}." for i in range(4))
+
+
+@pytest.mark.parametrize("kind", ["has-sidebar", "layout sidebar-right", "no-header", "col menu-open", "single-post share-bar-on", "page nav-fixed", "main-content ads-enabled", "sidebar"])
+def test_class_words_of_wrappers_do_not_empty_a_page(kind):
+    assert main_text(f"<body><div class='{kind}'><h1>Head</h1>{LONG}</div><div class=sidebar>Other text</div></body>") == "Head\n" + LONG_TEXT
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<article><h1 class='post-header'>Head</h1>{LONG}</article>", "Head\n" + LONG_TEXT),
+        (f"<body><p data-x=it's>{P1}</p>{LONG}</body>", P1 + "\n" + LONG_TEXT),
+        (f"<body><p title=don't>hello</p><div>{LONG}</div>", LONG_TEXT),
+        (f"<body><p title='a > b' data-y=\"it's\" hidden-x>{P1}</p></body>", P1),
+        (f"<body><p class=\"unclosed>{P1}</p>{LONG}</body>", P1 + "\n" + LONG_TEXT),
+        (f"<main><div>{LONG}</div><div><ul>" + "".join(f"<li><a href=/{i}>Some other page {i}</a></li>" for i in range(6)) + "</ul></div></main>", LONG_TEXT),
+        (f"<main><div><h1>Head</h1>{LONG}</div><div>" + "".join(f"<div><b>{n}</b> <i>3 days ago</i><p>I liked this a lot and wrote so.</p></div>" for n in ("Anna", "Bob", "Eve")) + "</div></main>", "Head\n" + LONG_TEXT),
+        (f"<article><h1>Head</h1>{LONG}<h3>3 Comments</h3><div><p>Nice text, says a reader at some length here.</p></div></article>", "Head\n" + LONG_TEXT),
+        (f"<article><h1>Head</h1><div class=lead><p>Short lead.</p></div><div class=text>{LONG}</div><p>Short end.</p></article>", "Head\n" + LONG_TEXT + "\nShort end."),
+        ("<p>a\u2003b\u2028c\u3000d\u0085e\u00a0f</p>", "a b c d e f"),
+        ("<p>" + "very long " * 300_000 + "</p>", ("very long " * 300_000).strip()),
+    ],
+)
+def test_density_decides(page, text):
+    assert main_text(page) == text
+
+
+def plain_core(page: Page):
+    """The core by the formula, each count taken afresh over the whole page."""
+    below = lambda n: [x for x in page.nodes[n.index : n.end] if not x.never]
+
+    def counts(n):
+        inside = {x.index for x in below(n)}
+        runs = [(x, len("".join(t.split()))) for x, t, _ in page.runs if x.index in inside]
+        return sum(k for _, k in runs), len(inside) - 1, sum(k for x, k in runs if x.in_link), sum(x.tag == "a" for x in below(n)) - (n.tag == "a")
+
+    body = counts(page.body)
+
+    def density(n):
+        c, t, lc, lt = counts(n)
+        if not c:
+            return 0.0
+        base = math.log(c * max(1, lc) / max(1, c - lc) + body[2] / max(1, body[0]) * c + math.e)
+        return c / max(1, t) * math.log(c * max(1, t) / (max(1, lc) * max(1, lt))) / base
+
+    worth = {n.index: sum(density(x) for x in below(n) if x.parent is n) for n in below(page.body)}
+    top = max(below(page.body), key=lambda n: (worth[n.index], -n.index))
+    way, n = [], top
+    while n is not page.body:
+        way.append(n)
+        n = n.parent
+    threshold = min(density(x) for x in [*way, page.body])
+    core = max((x for x in below(page.body) if density(x) >= threshold - 1e-12), key=lambda n: (worth[n.index], -n.index))
+    while core is not page.body and core.tag in _PART | _INLINE:
+        core = core.parent
+    return core.index
+
+
+def test_core_against_a_plain_version_on_all_pages():
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist()
+    for source in pages:
+        if source:
+            page = Page(source)
+            core, _ = page.article()
+            assert core.index == plain_core(page)
+
+
 def test_densities_against_the_formula():
     page = Page(f"<body><div><p>{P1}</p><p>{P2}</p></div><ul><li><a>x</a><li>yy</ul></body>")
     page.score()

@@ -18,7 +18,11 @@ def test_held_out_accuracy_and_split(tables):
     held = [(got[r.doc_id].score, r.quality) for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
     s, y = np.array(held).T
     assert ((s >= net.CUTOFF) == (y == 1)).mean() > 0.9 and (s[y == 1] >= net.CUTOFF).mean() > 0.95
-    chunks, y = net.sample(docs, labels, rows=10**6)
+    texts, y = net.sample(docs, labels, rows=10**6, size=10**9)
+    want = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    assert sorted(texts) == sorted(want[r.doc_id] for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2)
+    few, _ = net.sample(docs, labels, rows=50, size=20_000)
+    assert 10 < len(few) <= 100 and sum(map(len, few)) <= 40_000
     assert len(y) == sum(zlib.crc32(str(r.doc_id).encode()) % 4 != 2 for r in labels.collect())
 
 
@@ -61,7 +65,7 @@ def test_gradient_by_differences():
             total += np.log1p(np.exp(-x if label else x)) / len(y)
         return total
 
-    g = net._gradient(m, texts, y, w)
+    g = net._gradient(m, texts, y, w, np.concatenate([np.full(len(t), 1 / len(t)) for t in texts]))
     for name, v in m.items():
         at = np.unravel_index(np.abs(g[name]).argmax(), v.shape)
         old = v[at]
@@ -73,6 +77,29 @@ def test_gradient_by_differences():
         assert np.isclose(slope, g[name][at], rtol=1e-2, atol=1e-5), name
 
 
+def test_every_chunk_of_a_long_text_has_its_turn():
+    n, low = 40, np.array([7, 30, 2])
+    seen = set()
+    for epoch in range(14):
+        own, share = net._chosen(n, low, epoch)
+        assert len(own) == len(set(own)) == net.STEP_CHUNKS and set(low) <= set(own) and abs(sum(share) - 1) < 1e-12
+        seen |= set(own)
+    assert seen == set(range(n)) and net._chosen(4, None, 3) == ([0, 1, 2, 3], [0.25] * 4)
+
+
+def test_junk_deep_in_a_long_text_counts():
+    """Long bad texts differ from good ones in one chunk of 40 only, anywhere."""
+    r = np.random.default_rng(2)
+    good = lambda n: " ".join(r.choice(["river", "stone", "light", "water", "garden", "letter"], n)).encode()
+    texts = [good(1700) for _ in range(60)]
+    for k in range(30):
+        at = int(r.integers(0, len(texts[k]) - 600))
+        texts[k] = texts[k][:at] + b"$$$ ### " * 70 + texts[k][at + 560 :]
+    m = net.train(texts, np.array([0] * 30 + [1] * 30), epochs=60)
+    s = net.scores(m, texts)
+    assert ((s >= 0.5) == (np.arange(60) >= 30)).mean() > 0.95
+
+
 def test_tables(docs_of, spark):
     labels = spark.createDataFrame([(1, 1, 0), (None, 0, 0)], "doc_id long, quality int, toxic int")
     df = docs_of(["abc", None, "abc"], ids=[1, 2, 1]).selectExpr("*", "1 as score", "2 as quality")

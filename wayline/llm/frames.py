@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,9 +20,9 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
-def by_batch(df: DataFrame, make: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
+def by_batch(df: DataFrame, make: Callable[[pa.RecordBatch], dict], schema: str | StructType) -> DataFrame:
     """Each Arrow batch of df to a batch of schema; make returns arrays by column name."""
-    names = [x.strip().split(" ")[0] for x in schema.split(",")]
+    names = schema.names if isinstance(schema, StructType) else [x.strip().split(" ")[0] for x in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -7,13 +7,20 @@ it is then. Only the pre-tokens that the edit touches are split and encoded
 again, with as much context as can change them: on the left from the last
 boundary whose match looked at no changed character, on the right until a
 boundary of the new split falls on one of the old. Sums are updated on the way
-to the root, so a count costs the logarithm of the document's length.
+to the root: what is encoded again and updated does not grow with the document
+(its text is one string, which an edit copies once).
+
+Trees are kept: ``trees`` makes a table of texts with their packed trees, and
+``apply_edits`` takes such a table and edits, and returns the next one. A tree
+is loaded from its bytes, so nothing but the edited regions is split or encoded
+after the first count.
 
 The split is that of the vocabulary's pattern, the counts those of its merges
 (``byte_bpe_50k.tiktoken``); special tokens count as ordinary text. Edits with
 offsets beyond the text are cut to it. Null text counts as empty; a document
 without edits keeps its count; rows that repeat a doc_id all get the same edits,
-in order of ``seq``; an empty table returns no rows.
+in order of ``seq`` (edits of equal seq by start, end, then text); a very long
+text is one row; other columns are not read; an empty table returns no rows.
 """
 
 from __future__ import annotations
@@ -21,10 +28,12 @@ from __future__ import annotations
 import base64
 import functools
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from wayline.llm import frames
 
@@ -79,8 +88,27 @@ class Tree:
         self.text, self.counter, self.encoded = text, counter, 0
         self._build([(len(p), counter.count(p)) for p in counter.split(text)])
 
+    def packed(self) -> bytes:
+        """The sizes of the leaves, and the lengths and token counts of their pre-tokens."""
+        pieces = np.array([p for x in self.leaves for p in x], np.uint32).reshape(-1, 2)
+        sizes = np.array([len(x) for x in self.leaves], np.uint32)
+        return np.uint32(len(sizes)).tobytes() + sizes.tobytes() + pieces.tobytes()
+
+    @staticmethod
+    def loaded(text: str, data: bytes, counter: Counter) -> Tree:
+        """The tree that packed() wrote for this text; nothing is split or encoded."""
+        tree = object.__new__(Tree)
+        tree.text, tree.counter, tree.encoded = text, counter, 0
+        n = int(np.frombuffer(data, np.uint32, 1)[0])
+        cut = np.append(0, np.cumsum(np.frombuffer(data, np.uint32, n, 4), dtype=np.int64)).tolist()
+        pieces = list(map(tuple, np.frombuffer(data, np.uint32, offset=4 + 4 * n).reshape(-1, 2).tolist()))
+        tree._grow([pieces[a:b] for a, b in zip(cut, cut[1:])])
+        return tree
+
     def _build(self, pieces: list[tuple[int, int]]) -> None:
-        leaves = [pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)] or [[]]
+        self._grow([pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)] or [[]])
+
+    def _grow(self, leaves: list[list[tuple[int, int]]]) -> None:
         self.width = 1 << (len(leaves) - 1).bit_length()
         self.leaves = leaves + [[] for _ in range(self.width - len(leaves))]
         self.sums = [(0, 0, 0)] * (2 * self.width)
@@ -179,23 +207,48 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def count_tokens(docs: DataFrame, vocabulary: tuple[str, str]) -> DataFrame:
-    """One row of SCHEMA for each row of docs (doc_id, text, edits: EDITS or null)."""
+TREES = "doc_id long, text string, tree binary, n_chars long, n_tokens long, n_pretokens long"
+_AFTER = "doc_id long, text string, tree binary, n_chars long, n_tokens long, n_pretokens long, n_edits long, n_chars_after long, n_tokens_after long, n_pretokens_after long, n_encoded_again long"
+
+
+def trees(docs: DataFrame, vocabulary: tuple[str, str], *more: str) -> DataFrame:
+    """One row of TREES for each row of docs (doc_id, text): what a table of kept trees holds; more: columns to carry."""
+    docs = frames.texts(docs, *more)
+
+    def make(b: pa.RecordBatch) -> dict:
+        c = counter(*vocabulary)
+        built = [Tree(x.as_py() or "", c) for x in b.column(1)]
+        totals = list(zip(*(t.total for t in built), strict=True))
+        sums = {n: pa.array(v, pa.int64()) for n, v in zip(("n_chars", "n_tokens", "n_pretokens"), totals, strict=True)}
+        return {"doc_id": b.column(0), "text": pa.array([t.text for t in built], pa.string()), "tree": pa.array([t.packed() for t in built], pa.binary())} | sums | {n: b.column(n) for n in more}
+
+    return frames.by_batch(docs, make, StructType([*StructType.fromDDL(TREES), *(docs.schema[n] for n in more)]))
+
+
+def apply_edits(kept: DataFrame, vocabulary: tuple[str, str]) -> DataFrame:
+    """The rows of kept (TREES and edits: EDITS or null) after their edits: text, tree and sums before and after."""
 
     def make(b: pa.RecordBatch) -> dict:
         c = counter(*vocabulary)
         rows = []
-        for text, edits in zip(b.column(1), b.column(2)):
-            tree = Tree(text.as_py() or "", c)
-            before = tree.total
+        for text, tree, edits in zip(b.column(1), b.column(2), b.column(6)):
+            t = Tree.loaded(text.as_py() or "", tree.as_py(), c)
             edits = [e for e in edits.as_py() or [] if e is not None]
             for e in edits:
-                tree.edit(e["start"] or 0, e["end"] if e["end"] is not None else e["start"] or 0, e["text"] or "")
-            rows.append((*before, len(edits), *tree.total, tree.encoded))
-        names = ("n_chars", "n_tokens", "n_pretokens", "n_edits", "n_chars_after", "n_tokens_after", "n_pretokens_after", "n_encoded_again")
-        return {"doc_id": b.column(0)} | {n: pa.array(v, pa.int64()) for n, v in zip(names, zip(*rows, strict=True), strict=True)}
+                t.edit(e["start"] or 0, e["end"] if e["end"] is not None else e["start"] or 0, e["text"] or "")
+            rows.append((t.text, t.packed(), len(edits), *t.total, t.encoded))
+        texts, packed, *numbers = zip(*rows, strict=True)
+        names = ("n_edits", "n_chars_after", "n_tokens_after", "n_pretokens_after", "n_encoded_again")
+        out = {n: b.column(n) for n in ("doc_id", "n_chars", "n_tokens", "n_pretokens")}
+        return out | {"text": pa.array(texts, pa.string()), "tree": pa.array(packed, pa.binary())} | {n: pa.array(v, pa.int64()) for n, v in zip(names, numbers, strict=True)}
 
-    return frames.by_batch(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("edits").cast(EDITS)), make, SCHEMA)
+    return frames.by_batch(kept.select("doc_id", "text", "tree", "n_chars", "n_tokens", "n_pretokens", F.col("edits").cast(EDITS)), make, _AFTER)
+
+
+def count_tokens(docs: DataFrame, vocabulary: tuple[str, str]) -> DataFrame:
+    """One row of SCHEMA for each row of docs (doc_id, text, edits: EDITS or null)."""
+    docs = docs.select("doc_id", "text", F.col("edits").cast(EDITS).alias("edits"))
+    return apply_edits(trees(docs, vocabulary, "edits"), vocabulary).drop("text", "tree")
 
 
 def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
