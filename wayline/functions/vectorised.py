@@ -36,7 +36,7 @@ def fft_lags(df: DataFrame, by: str, order: str, x: str, y: str, most: int) -> D
         for k in range(max(top - 30, lags[0]), min(top + 30, lags[-1]) + 1):
             p, q = (a[: n - k], b[k:]) if k >= 0 else (a[-k:], b[: n + k])
             if len(p) > 2 and p.std() > 0 and q.std() > 0:
-                best = max(best, (float(np.corrcoef(p, q)[0, 1]), -abs(k) * 0 + k), key=lambda z: z[0])
+                best = max(best, (float(np.corrcoef(p, q)[0, 1]), k), key=lambda z: z[0])
         return pd.DataFrame({by: [pdf[by].iloc[0]], "lag": [best[1]], "r": [best[0]]})
 
     return df.select(by, order, x, y).groupBy(by).applyInPandas(run, f"{by} long, lag long, r double")
@@ -44,19 +44,21 @@ def fft_lags(df: DataFrame, by: str, order: str, x: str, y: str, most: int) -> D
 
 def augmented(df: DataFrame, column: str, seed: int, yaw: bool = True, noise: float = 0.0) -> DataFrame:
     """Windows (array of x, y, z triples, flat) turned about the vertical by a seeded angle, with noise; the same for the same seed."""
-    angle = F.pmod(F.xxhash64(column, F.lit(seed)), F.lit(1_000_000)) / 1e6 * 2 * np.pi
+    drawn = F.xxhash64(column, F.lit(seed))
 
     @F.pandas_udf("array<double>")
-    def turn(v: pd.Series, a: pd.Series) -> pd.Series:
+    def turn(v: pd.Series, h: pd.Series) -> pd.Series:
         out = []
-        for w, t in zip(v, a):
+        for w, own in zip(v, h):
+            r = np.random.default_rng(int(own) & (1 << 64) - 1)
+            t = r.uniform(0, 2 * np.pi)
             p = np.asarray(w, float).reshape(-1, 3).copy()
             if yaw:
                 p[:, :2] = p[:, :2] @ np.array([[np.cos(t), np.sin(t)], [-np.sin(t), np.cos(t)]])
-            out.append((p + np.random.default_rng(int(t * 1e6)).normal(0, noise, p.shape)).reshape(-1))
+            out.append((p + r.normal(0, noise, p.shape)).reshape(-1))
         return pd.Series(out)
 
-    return df.withColumn(column, turn(column, angle))
+    return df.withColumn(column, turn(column, drawn))
 
 
 def predicted(df: DataFrame, column: str, model: bytes, sha256: str, out: str = "prediction") -> DataFrame:

@@ -2,8 +2,8 @@
 
 An as-of join is a union of both sides and two windows that carry the last and
 next row of the other side: one exchange by session and one sort, no matter how
-many rows match. Sessions bound a task; a session that outgrows one is split by
-time with ``cut_us``, each part seeing the tolerance around it.
+many rows match. A session that outgrows a task is split by time with ``cut``,
+each part seeing the other side's rows within the tolerance around it.
 """
 
 from __future__ import annotations
@@ -21,13 +21,21 @@ def _merged(left: DataFrame, right: DataFrame, by: Keys, at: str, key: str, righ
     return one.unionByName(two)
 
 
-def asof(left: DataFrame, right: DataFrame, by: Keys, at: str, key: str, right_key: str, values: Keys, how: str = "nearest", tolerance: int | None = None) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, by: Keys, at: str, key: str, right_key: str, values: Keys, how: str = "nearest", tolerance: int | None = None, cut: int | None = None) -> DataFrame:
     """left with the row of right nearest in time (or last at or before, or first at or after).
 
     at: time in whole units on both sides; tolerance in the same unit. Adds match_at
     and the values of right; unmatched rows keep nulls. At equal distance the row
     before wins; rows of right at one time: the last by right_key backward, the first forward.
+    cut: length of the parts into which sessions are split by time; it needs a tolerance, and changes no result.
     """
+    if cut is not None:
+        if tolerance is None:
+            raise ValueError("only a join with a tolerance can be cut by time")
+        part = lambda c: F.floor(c / F.lit(cut))
+        right = right.withColumn("_part", F.explode(F.sequence(part(F.col(at) - tolerance), part(F.col(at) + tolerance))))
+        out = asof(left.withColumn("_part", part(F.col(at))), right, [*by, "_part"], at, key, right_key, values, how, tolerance)
+        return out.drop("_part")
     all_rows = _merged(left, right, by, at, key, right_key, values)
     w = Window.partitionBy(*by)
     # backward sees right rows of the same instant, so they sort before left ones; forward the other way round
@@ -63,14 +71,35 @@ def in_ranges(points: DataFrame, ranges: DataFrame, by: Keys, at: str, start: st
     Ranges are cut into cells of time, so the join is an equi-join on session and
     cell; only ranges of the same cell meet.
     """
-    cut = ranges.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(start) / cell), F.floor((F.col(end) - 1) / cell)))).where(F.col(end) > F.col(start))
-    cut = cut.select(*(F.col(b).alias(f"_k{i}") for i, b in enumerate(by)), "_cell", start, end, range_key)
-    p = points.withColumn("_c", F.floor(F.col(at) / cell))
-    on = (p["_c"] == cut["_cell"]) & (p[at] >= cut[start]) & (p[at] < cut[end])
+    row = points.withColumn("_row", F.monotonically_increasing_id())
+    firsts = F.sequence(F.floor(F.col(start) / cell), F.floor((F.col(end) - 1) / cell))
+    cut = ranges.where(F.col(end) > F.col(start)).withColumn("_cell", F.explode(firsts))
+    cut = cut.select(*(F.col(b).alias(f"_k{i}") for i, b in enumerate(by)), "_cell", F.col(start).alias("_start"), F.col(end).alias("_end"), F.col(range_key).alias("_range"))
+    p = row.withColumn("_c", F.floor(F.col(at) / cell))
+    on = (p["_c"] == cut["_cell"]) & (p[at] >= cut["_start"]) & (p[at] < cut["_end"])
     for i, b in enumerate(by):
         on = on & (p[b] == cut[f"_k{i}"])
-    joined = p.join(cut, on, "left")
-    return joined.groupBy(*points.columns).agg(F.min(F.struct(start, range_key)).alias("_m")).select(*points.columns, F.col(f"_m.{range_key}").alias("range_id"))
+    # a point is one row, however often an equal one is there
+    best = p.join(cut, on, "left").groupBy(*points.columns, "_row").agg(F.min(F.struct("_start", "_range")).alias("_m"))
+    return best.select(*points.columns, F.col("_m._range").alias("range_id"))
+
+
+def history(left: DataFrame, states: DataFrame, by: Keys, epoch: str, received: str, at: str, key: str, state_key: str, values: Keys, horizon: int) -> DataFrame:
+    """left with the state nearest to its epoch among those of the horizon before it was received.
+
+    A bounded history in batch form: a state older than received - horizon is gone,
+    a later one is not there yet. Of two states equally near the earlier one counts.
+    Adds r_at, and the values as r_<name>; null where the history is empty.
+    """
+    found = left
+    states = states.withColumnRenamed(at, epoch)
+    pair = lambda how: asof(left, states, by, epoch, key, state_key, [state_key, *values], how).select(key, F.struct(F.col("match_at").alias("at"), *(F.col(f"r_{v}").alias(v) for v in values)).alias(how))
+    found = left.join(pair("backward"), key).join(pair("forward"), key)
+    ok = lambda s: F.when((F.col(f"{s}.at") >= F.col(received) - horizon) & (F.col(f"{s}.at") <= F.col(received)), F.col(s))
+    b, a = ok("backward"), ok("forward")
+    near = F.when(a["at"].isNull() | (F.col(epoch) - b["at"] <= a["at"] - F.col(epoch)), b).otherwise(a)
+    found = found.withColumn("_r", F.coalesce(near, a))
+    return found.select(*left.columns, F.col("_r.at").alias("r_at"), *(F.col(f"_r.{v}").alias(f"r_{v}") for v in values))
 
 
 def positional(left: DataFrame, right: DataFrame, by: Keys, left_order: Keys, right_order: Keys) -> DataFrame:

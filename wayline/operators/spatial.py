@@ -7,10 +7,27 @@ joins; between rounds the frontier is checkpointed in the shared folder.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def checkpoints(spark: SparkSession) -> None:
+    """Sets the session's checkpoint folder where none is set: spark.checkpoint.dir, or one below a warehouse that is shared.
+
+    A cluster without spark.checkpoint.dir is refused if its warehouse is a local folder.
+    """
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isEmpty():
+        return
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if not sc.master.startswith("local") and (warehouse.startswith("/") or warehouse.startswith("file:")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"{warehouse.rstrip('/')}/_checkpoints"
+    sc.setCheckpointDir(base)
+
+
 def oneway(tag: Column, junction: Column, highway: Column) -> Column:
     """struct<forward,backward> that a way's tags allow."""
     only_forward = tag.isin("yes", "true", "1") | (tag.isNull() & (junction.isin("roundabout", "circular") | (highway == "motorway")))
@@ -54,8 +71,6 @@ def candidates(points: DataFrame, segments: DataFrame, radius: float, cell: floa
 
 def bounded_routes(edges: DataFrame, sources: DataFrame, cutoff: float) -> DataFrame:
     """Shortest lengths (source, node, length) up to cutoff over edges (a, b, w > 0), by relaxation until nothing changes."""
-    from pyspark import StorageLevel  # noqa: F401
-
     known = sources.select(F.col("node_id").alias("source"), F.col("node_id").alias("node"), F.lit(0.0).alias("length"))
     frontier = known
     while True:

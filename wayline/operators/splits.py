@@ -2,31 +2,38 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Drivers at most for which every subset is weighed.
-MOST_DRIVERS = 20
+def nearest_subset(hours: dict[str, float], share: float, within: tuple[float, float]) -> tuple[str, ...]:
+    """The drivers whose hours together are nearest to a share of all, and within limits; empty if no subset is.
+
+    Hours count in whole minutes. For each sum that can be reached the first
+    subset by names is kept, so the work follows drivers times minutes, not the
+    number of subsets. At least one driver stays out.
+    """
+    minutes = {x: round(h * 60) for x, h in sorted(hours.items())}
+    whole = sum(minutes.values())
+    best: dict[int, tuple[str, ...]] = {0: ()}
+    for x, m in minutes.items():
+        for total, names in list(best.items()):
+            new = (*names, x)
+            if total + m <= within[1] * whole and len(new) < len(minutes) and new < best.get(total + m, ("\uffff",)):
+                best[total + m] = new
+    fit = [(abs(t - share * whole), names) for t, names in best.items() if names and within[0] * whole <= t]
+    return min(fit, default=(0, ()))[1]
 
 
 def assign(sessions: DataFrame, share: float = 0.2, within: tuple[float, float] = (0.1, 0.35), validation: float = 0.15, seed: int = 26168) -> DataFrame:
     """sessions (session_id, driver, drive_id, hours) with their split.
 
     The test split holds whole drivers: the subset whose hours are nearest to the
-    share. Of the rest, drives in a seeded order go to validation until it has its
-    share; every driver keeps a drive for training. Only one row a driver is
-    collected, and a fleet of more than MOST_DRIVERS is refused.
+    share, and none where no subset is within the limits. Of the rest, drives in
+    a seeded order go to validation until it has its share; every driver keeps a
+    drive for training. One row a driver is collected.
     """
-    totals = sessions.groupBy("driver").agg(F.sum("hours").alias("hours")).orderBy("driver").limit(MOST_DRIVERS + 1).collect()
-    if len(totals) > MOST_DRIVERS:
-        raise ValueError(f"more than {MOST_DRIVERS} drivers: assign drivers by hash instead")
-    whole = sum(r.hours for r in totals)
-    names = [r.driver for r in totals]
-    hours = {r.driver: r.hours for r in totals}
-    subsets = [s for n in range(1, len(names)) for s in combinations(names, n) if within[0] <= sum(hours[x] for x in s) / whole <= within[1]]
-    test = min(subsets, key=lambda s: (abs(sum(hours[x] for x in s) / whole - share), s), default=())
+    totals = sessions.groupBy("driver").agg(F.sum("hours").alias("hours")).orderBy("driver").collect()
+    test = nearest_subset({r.driver: r.hours for r in totals}, share, within)
     drives = sessions.where(~F.col("driver").isin(list(test)) if test else F.lit(True)).groupBy("driver", "drive_id").agg(F.sum("hours").alias("hours"))
     from pyspark.sql import Window
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from wayline.operators import ranks
 from wayline.operators import sequence as seq
 from wayline.plans.catalog import query
 from wayline.plans.tables import events, table
@@ -19,10 +22,10 @@ def corr_guarded(spark, d):
     return events(spark, d).groupBy("user_id").agg(F.round(F.when(ok, F.corr("value", F.col("k").cast("double"))), 6).alias("r"))
 
 
-@query("slope_origin", f"WITH {_E} SELECT event_type, round(sum(value * k) / sum(value * value), 6) AS slope FROM e GROUP BY event_type")
+@query("slope_origin", f"WITH {_E} SELECT event_type, round(CASE WHEN count(*) >= 50 THEN sum(value * k) / sum(value * value) END, 6) AS slope FROM e GROUP BY event_type")
 def slope_origin(spark, d):
     v, k = F.col("value"), F.col("k")
-    return events(spark, d).groupBy("event_type").agg(F.round(F.sum(v * k) / F.sum(v * v), 6).alias("slope"))
+    return events(spark, d).groupBy("event_type").agg(F.round(F.when(F.count("*") >= 50, F.sum(v * k) / F.sum(v * v)), 6).alias("slope"))
 
 
 @query("axis_scan", "WITH c AS (SELECT l_returnflag, corr(l_quantity, l_extendedprice) AS x, corr(l_quantity, l_discount) AS y, corr(l_quantity, l_tax) AS z FROM lineitem GROUP BY 1) SELECT l_returnflag, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, CASE WHEN abs(x) >= abs(y) AND abs(x) >= abs(z) THEN 'x' WHEN abs(y) >= abs(z) THEN 'y' ELSE 'z' END AS best, CAST(sign(CASE WHEN abs(x) >= abs(y) AND abs(x) >= abs(z) THEN x WHEN abs(y) >= abs(z) THEN y ELSE z END) AS DOUBLE) AS sign FROM c")
@@ -52,15 +55,25 @@ def binned_calibration(spark, d):
     q = F.col("l_quantity")
     name = F.coalesce(*(F.when((q > a) & (q <= b), f"({a}, {b}]") for a, b in _BINS))
     df = table(spark, d, "lineitem").select(name.alias("bin"), (F.col("l_extendedprice") / q).alias("ratio")).where("bin IS NOT NULL")
-    return df.groupBy("bin").agg(F.count("*").alias("n"), F.round(F.percentile("ratio", 0.5), 4).alias("median_ratio"), F.round(F.percentile(F.abs(F.col("ratio") - 1500), 0.95), 4).alias("p95"))
+    df = df.withColumn("off", F.abs(F.col("ratio") - 1500))
+    p = ranks.percentiles(df, ["bin"], {"median_ratio": ("ratio", 0.5), "p95": ("off", 0.95)})
+    return p.select("bin", "n", F.round("median_ratio", 4).alias("median_ratio"), F.round("p95", 4).alias("p95"))
 
 
 @query("delay_grid_search", f"WITH {_E}, g AS (SELECT i - 20 AS step, user_id, median(abs(value - k - (i - 20))) AS err, count(*) AS n FROM e CROSS JOIN range(0, 50) t(i) GROUP BY ALL) SELECT user_id, step, round(err, 6) AS err FROM g WHERE n >= 20 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY round(err, 9), step) = 1")
 def delay_grid_search(spark, d):
-    grid = events(spark, d).select("user_id", "value", "k", F.explode(F.sequence(F.lit(-20).cast("long"), F.lit(29).cast("long"))).alias("step"))
-    err = F.percentile(F.abs(F.col("value") - F.col("k") - F.col("step")), 0.5)
-    g = grid.groupBy("user_id", "step").agg(err.alias("err"), F.count("*").alias("n")).where("n >= 20")
-    return seq.top_k(g, BY, [F.round("err", 9), F.col("step")], 1).select("user_id", "step", F.round("err", 6).alias("err"))
+    """One pass a user over the differences; the grid is never expanded into rows."""
+
+    def run(t: pa.Table) -> pa.Table:
+        x = t["x"].to_numpy()
+        if len(x) < 20:
+            return pa.table({"user_id": pa.array([], pa.int64()), "step": pa.array([], pa.int64()), "err": pa.array([], pa.float64())})
+        err = np.array([np.median(np.abs(x - step)) for step in range(-20, 30)])
+        best = int(np.round(err, 9).argmin())
+        return pa.table({"user_id": t["user_id"][:1], "step": pa.array([best - 20], pa.int64()), "err": [float(err[best])]})
+
+    x = (F.col("value") - F.col("k")).alias("x")
+    return events(spark, d).select("user_id", x).groupBy("user_id").applyInArrow(run, "user_id long, step long, err double").withColumn("err", F.round("err", 6))
 
 
 @query("norm_stats", "SELECT round(avg(x), 9) AS mean, round(stddev_pop(x), 9) AS std, i AS channel FROM (SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY i")
@@ -115,22 +128,25 @@ def procrustes_yaw(spark, d):
 @query("median_of_medians", f"WITH {_E}, g AS (SELECT user_id, median(value) AS m FROM e GROUP BY user_id HAVING count(*) >= 5) SELECT round(median(m), 6) AS median, round(quantile_cont(m, 0.25), 6) AS q1, round(quantile_cont(m, 0.75), 6) AS q3, count(*) AS n FROM g")
 def median_of_medians(spark, d):
     g = events(spark, d).groupBy("user_id").agg(F.percentile("value", 0.5).alias("m"), F.count("*").alias("c")).where("c >= 5")
-    return g.agg(*(F.round(F.percentile("m", p), 6).alias(n) for n, p in (("median", 0.5), ("q1", 0.25), ("q3", 0.75))), F.count("*").alias("n"))
+    p = ranks.percentiles(g, [], {"median": ("m", 0.5), "q1": ("m", 0.25), "q3": ("m", 0.75)})
+    return p.select(*(F.round(n, 6).alias(n) for n in ("median", "q1", "q3")), "n")
 
 
 @query("calibration_table", f"WITH {_E}, x AS (SELECT (value - 30) / 20 AS z, value - 30 AS err, event_type FROM e) SELECT event_type, round(avg(abs(err)), 6) AS mae, round(sqrt(avg(err * err)), 6) AS rmse, round(avg(err), 6) AS bias, round(avg(CASE WHEN abs(z) <= 1 THEN 1.0 ELSE 0.0 END), 6) AS in_1, round(avg(CASE WHEN abs(z) <= 2 THEN 1.0 ELSE 0.0 END), 6) AS in_2, round(quantile_cont(abs(err), 0.95), 6) AS p95, round(stddev_pop(z), 6) AS z_std FROM x GROUP BY event_type")
 def calibration_table(spark, d):
     x = events(spark, d).select("event_type", ((F.col("value") - 30) / 20).alias("z"), (F.col("value") - 30).alias("err"))
     share = lambda k: F.avg((F.abs("z") <= k).cast("double"))
-    got = {"mae": F.avg(F.abs("err")), "rmse": F.sqrt(F.avg(F.col("err") * F.col("err"))), "bias": F.avg("err"), "in_1": share(1), "in_2": share(2), "p95": F.percentile(F.abs("err"), 0.95), "z_std": F.stddev_pop("z")}
-    return x.groupBy("event_type").agg(*(F.round(c, 6).alias(n) for n, c in got.items()))
+    got = {"mae": F.avg(F.abs("err")), "rmse": F.sqrt(F.avg(F.col("err") * F.col("err"))), "bias": F.avg("err"), "in_1": share(1), "in_2": share(2), "z_std": F.stddev_pop("z")}
+    table_ = x.groupBy("event_type").agg(*(F.round(c, 6).alias(n) for n, c in got.items()))
+    p = ranks.percentiles(x.select("event_type", F.abs("err").alias("off")), ["event_type"], {"p95": ("off", 0.95)})
+    return table_.join(p.select("event_type", F.round("p95", 6).alias("p95")), "event_type")
 
 
 @query("ence", f"WITH {_E}, x AS (SELECT value - 30 AS err, 5.0 + k AS sigma FROM e), p AS (SELECT quantile_cont(sigma, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]) AS l FROM x), q AS (SELECT i - 1 AS i, l[i] AS lo FROM p, range(1, 12) t(i)), b AS (SELECT a.i, a.lo AS lo, c.lo AS hi FROM q a JOIN q c ON c.i = a.i + 1), g AS (SELECT b.i, sqrt(avg(err * err)) AS rmse, avg(sigma) AS s, count(*) AS n FROM b JOIN x ON sigma >= lo AND sigma <= hi GROUP BY b.i HAVING count(*) >= 10) SELECT round(avg(abs(rmse - s) / s), 6) AS ence, count(*) AS bins FROM g")
 def ence(spark, d):
     """Edge rows count in both of their decile bins; ten edges are collected into one row, never the data."""
     x = events(spark, d).select((F.col("value") - 30).alias("err"), (F.col("k") + 5.0).alias("sigma"))
-    edges = x.agg(F.percentile("sigma", F.array(*(F.lit(i / 10) for i in range(11)))).alias("p"))
+    edges = ranks.percentiles(x, [], {f"p{i}": ("sigma", i / 10) for i in range(11)}).select(F.array(*(f"p{i}" for i in range(11))).alias("p"))
     bins = edges.select(F.posexplode(F.arrays_zip(F.slice("p", 1, 10).alias("lo"), F.slice("p", 2, 10).alias("hi"))).alias("i", "b")).select("i", F.col("b.lo").alias("lo"), F.col("b.hi").alias("hi"))
     g = x.join(F.broadcast(bins), F.expr("sigma >= lo AND sigma <= hi")).groupBy("i").agg(F.sqrt(F.avg(F.expr("err * err"))).alias("rmse"), F.avg("sigma").alias("s"), F.count("*").alias("n")).where("n >= 10")
     return g.agg(F.round(F.avg(F.abs(F.col("rmse") - F.col("s")) / F.col("s")), 6).alias("ence"), F.count("*").alias("bins"))
@@ -144,11 +160,17 @@ def select_with_ties(spark, d):
     return seq.top_k(near, ["p_brand"], [F.col("params"), F.col("mae"), F.col("p_partkey")], 1).select("p_brand", "p_partkey", "mae", "params")
 
 
-@query("content_digest", "SELECT source, sha256(string_agg(sha256(text), ',' ORDER BY doc_id)) AS digest, count(*) AS n FROM documents GROUP BY source")
+@query("content_digest", "WITH a AS (SELECT source, doc_id // 1024 AS b, sha256(string_agg(sha256(text), ',' ORDER BY doc_id)) AS h, count(*) AS n FROM documents GROUP BY 1, 2), b AS (SELECT source, b // 1024 AS c, sha256(string_agg(h, ',' ORDER BY b)) AS h, sum(n) AS n FROM a GROUP BY 1, 2) SELECT source, sha256(string_agg(h, ',' ORDER BY c)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM b GROUP BY source")
 def content_digest(spark, d):
-    """Order-sensitive digest of a group; what is gathered is one digest of 64 letters a row."""
-    g = table(spark, d, "documents").groupBy("source").agg(F.sort_array(F.collect_list(F.struct("doc_id", F.sha2("text", 256).alias("h")))).alias("l"), F.count("*").alias("n"))
-    return g.select("source", F.sha2(F.array_join(F.transform("l", lambda x: x["h"]), ","), 256).alias("digest"), "n")
+    """Order-sensitive digest of a group: of ranges of 1,024 ids, then of 1,024 such digests, then of those; no row gathers a group."""
+    g = table(spark, d, "documents").select("source", F.col("doc_id").alias("at"), F.sha2("text", 256).alias("h"), F.lit(1).cast("long").alias("n"))
+    for last in (False, False, True):
+        keys = ["source"] if last else ["source", F.floor(F.col("at") / 1024).alias("up")]
+        lists = F.sort_array(F.collect_list(F.struct("at", "h"))).alias("l")
+        g = g.groupBy(*keys).agg(lists, F.sum("n").alias("n"))
+        digest = F.sha2(F.array_join(F.transform("l", lambda x: x["h"]), ","), 256)
+        g = g.select("source", digest.alias("digest"), "n") if last else g.select("source", F.col("up").alias("at"), digest.alias("h"), "n")
+    return g
 
 
 @query("max_abs_difference", "SELECT max(greatest(abs(a.l_quantity - b.o_totalprice / 10000), abs(a.l_tax - 0.05))) AS worst FROM lineitem a JOIN orders b ON a.l_orderkey = b.o_orderkey")
@@ -160,7 +182,9 @@ def max_abs_difference(spark, d):
 @query("fleet_rollup", "WITH s AS (SELECT c_nationkey, count(*) AS n, CAST(sum(o_totalprice * 100) AS BIGINT) AS cents, median(o_totalprice) AS med FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1) SELECT n_regionkey, CAST(sum(n) AS BIGINT) AS n, CAST(sum(cents) AS BIGINT) AS cents, round(median(med), 4) AS median_of_medians, min(med) AS lo, max(med) AS hi FROM s JOIN nation ON n_nationkey = c_nationkey GROUP BY n_regionkey")
 def fleet_rollup(spark, d):
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
-    s = table(spark, d, "orders").join(c, "o_custkey").groupBy("c_nationkey").agg(F.count("*").alias("n"), F.round(F.sum(F.col("o_totalprice") * 100)).cast("long").alias("cents"), F.percentile("o_totalprice", 0.5).alias("med"))
+    o = table(spark, d, "orders").join(c, "o_custkey").select("c_nationkey", "o_totalprice")
+    sums = o.groupBy("c_nationkey").agg(F.round(F.sum(F.col("o_totalprice") * 100)).cast("long").alias("cents"))
+    s = ranks.percentiles(o, ["c_nationkey"], {"med": ("o_totalprice", 0.5)}).join(sums, "c_nationkey")
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
     return s.join(n, "c_nationkey").groupBy("n_regionkey").agg(F.sum("n").alias("n"), F.sum("cents").alias("cents"), F.round(F.percentile("med", 0.5), 4).alias("median_of_medians"), F.min("med").alias("lo"), F.max("med").alias("hi"))
 
@@ -173,9 +197,10 @@ def split_leak_audit(spark, d):
 @query("pooled_and_grouped", "SELECT coalesce(l_returnflag, 'all') AS arm, count(*) AS n, round(median(l_quantity), 6) AS p50, round(quantile_cont(l_quantity, 0.95), 6) AS p95, round(avg(CASE WHEN l_quantity <= 25 THEN 1.0 ELSE 0.0 END), 6) AS share FROM lineitem GROUP BY ROLLUP (l_returnflag)")
 def pooled_and_grouped(spark, d):
     """Each arm and all together in one pass."""
-    g = table(spark, d, "lineitem").select("l_returnflag", "l_quantity").rollup("l_returnflag")
-    out = g.agg(F.count("*").alias("n"), F.round(F.percentile("l_quantity", 0.5), 6).alias("p50"), F.round(F.percentile("l_quantity", 0.95), 6).alias("p95"), F.round(F.avg((F.col("l_quantity") <= 25).cast("double")), 6).alias("share"))
-    return out.select(F.coalesce("l_returnflag", F.lit("all")).alias("arm"), "n", "p50", "p95", "share")
+    x = table(spark, d, "lineitem").select(F.explode(F.array("l_returnflag", F.lit("all"))).alias("arm"), "l_quantity")
+    p = ranks.percentiles(x, ["arm"], {"p50": ("l_quantity", 0.5), "p95": ("l_quantity", 0.95)})
+    share = x.groupBy("arm").agg(F.round(F.avg((F.col("l_quantity") <= 25).cast("double")), 6).alias("share"))
+    return p.join(share, "arm").select("arm", "n", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), "share")
 
 
 @query("phone_audit", f"WITH {_E} SELECT user_id, round(quantile_cont(value, 0.01), 6) AS p01, round(quantile_cont(value, 0.99), 6) AS p99, round(stddev_pop(value), 6) AS std, max(value) AS top, max_by(event_type, (value, event_id)) AS top_channel, count(CASE WHEN value > 90 THEN 1 END) AS n_high FROM e GROUP BY user_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wayline.operators import ranks
 from wayline.operators import sequence as seq
 from wayline.plans.catalog import query
 from wayline.plans.tables import events, table
@@ -122,9 +123,10 @@ def tod_unwrap(spark, d):
     return seq.day_unwrapped(df, BY, ORDER, "tod", "tod_s").select("event_id", F.round("tod_s", 6).alias("tod_s"))
 
 
-@query("phase_unwrap", f"WITH {_E}, x AS (SELECT *, k * 3.6 AS a FROM e), y AS (SELECT *, coalesce(-round_even((a - lag(a) OVER w) / 360.0, 0), 0) AS turn FROM x WINDOW w AS {_W.format('')}) SELECT event_id, round(a + 360.0 * sum(turn) OVER {_W.format(' ROWS UNBOUNDED PRECEDING')}, 6) AS angle_deg FROM y")
+@query("phase_unwrap", f"WITH {_E}, x AS (SELECT *, k * 3.5e0 AS a FROM e), y AS (SELECT *, coalesce(-round_even((a - lag(a) OVER w) / 360e0, 0), 0) AS turn FROM x WINDOW w AS {_W.format('')}) SELECT event_id, round(a + 360e0 * sum(turn) OVER {_W.format(' ROWS UNBOUNDED PRECEDING')}, 6) AS angle_deg FROM y")
 def phase_unwrap(spark, d):
-    df = events(spark, d).withColumn("a", F.col("k") * 3.6)
+    """Steps of 3.5 degrees: none is exactly half a turn, where rounding would decide."""
+    df = events(spark, d).withColumn("a", F.col("k") * 3.5)
     return seq.unwrapped(df, BY, ORDER, "a", 360.0, "angle_deg").select("event_id", F.round("angle_deg", 6).alias("angle_deg"))
 
 
@@ -216,14 +218,9 @@ def evenly_spaced(spark, d):
 
 @query("multi_key_order", f"WITH {_E} SELECT event_id, row_number() OVER (ORDER BY event_type, k DESC, t_us, event_id) AS place FROM e")
 def multi_key_order(spark, d):
-    """Global places without one task for all rows: counts of the parts before, and places within a part."""
-    e = events(spark, d)
-    part = ["event_type", "k"]
-    sizes = e.groupBy(*part).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("event_type", F.desc("k")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select(*part, before.alias("before"))
-    inside = e.withColumn("r", F.row_number().over(Window.partitionBy(*part).orderBy("t_us", "event_id")))
-    return inside.join(offsets, part).select("event_id", (F.col("r") + F.col("before")).cast("long").alias("place"))
+    """Global places without one task for all rows, or for all keys: places within ranges, and the sizes of the ranges before."""
+    order = [F.col("event_type"), F.desc("k"), F.col("t_us"), F.col("event_id")]
+    return ranks.placed(events(spark, d), order, "place").select("event_id", "place")
 
 
 @query("set_intersect", "SELECT c_custkey AS id FROM customer INTERSECT SELECT o_custkey FROM orders")
@@ -249,6 +246,8 @@ def set_union_all(spark, d):
 
 @query("set_equal", "SELECT (SELECT count(*) FROM (SELECT n_regionkey FROM nation EXCEPT ALL SELECT r_regionkey FROM region)) AS n_more, (SELECT count(*) FROM (SELECT r_regionkey FROM region EXCEPT ALL SELECT n_regionkey FROM nation)) AS n_less")
 def set_equal(spark, d):
-    a, b = table(spark, d, "nation").select("n_regionkey"), table(spark, d, "region").select("r_regionkey")
-    more, less = a.exceptAll(b).agg(F.count("*").alias("n_more")), b.exceptAll(a).agg(F.count("*").alias("n_less"))
-    return more.join(less, F.lit(True))
+    """Counts of each key on both sides in one aggregate over a union: no join at all."""
+    side = lambda name, key, x, y: table(spark, d, name).select(F.col(key).alias("key"), F.lit(x).alias("a"), F.lit(y).alias("b"))
+    both = side("nation", "n_regionkey", 1, 0).unionByName(side("region", "r_regionkey", 0, 1)).groupBy("key").agg((F.sum("a") - F.sum("b")).alias("more"))
+    n = lambda c: F.coalesce(F.sum(F.greatest(c, F.lit(0))), F.lit(0))
+    return both.agg(n(F.col("more")).alias("n_more"), n(-F.col("more")).alias("n_less"))

@@ -14,12 +14,6 @@ _EDGES = f"{_NODES}, s AS (SELECT CAST(a.node_id * 100 + b.node_id AS BIGINT) AS
 _POINTS = "p AS (SELECT c_custkey AS point_id, (c_custkey * 37 % 4000) / 10.0 AS px, (c_custkey * 91 % 4000) / 10.0 AS py FROM customer)"
 
 
-def _checkpoints(spark) -> None:
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
-
-
 def _nodes(spark, d) -> DataFrame:
     k = F.col("n_nationkey")
     return table(spark, d, "nation").select(k.alias("node_id"), (k % 5 * 100).cast("double").alias("x"), (F.floor(k / 5) * 100).cast("double").alias("y"))
@@ -82,7 +76,7 @@ def emission_scores(spark, d):
 
 @query("bounded_routes", f"WITH RECURSIVE {_EDGES}, r AS (SELECT node_id AS source, node_id AS node, 0 AS length FROM n UNION SELECT r.source, s.b, r.length + 100 FROM r JOIN s ON s.a = r.node WHERE r.length + 100 <= 300) SELECT source, node, CAST(min(length) AS DOUBLE) AS length FROM r GROUP BY ALL")
 def bounded_routes(spark, d):
-    _checkpoints(spark)
+    spatial.checkpoints(spark)
     edges = _segments(spark, d).select("a", "b", F.lit(100.0).alias("w"))
     return spatial.bounded_routes(edges, _nodes(spark, d), 300.0)
 
@@ -90,7 +84,7 @@ def bounded_routes(spark, d):
 @query("connected_drives", "WITH RECURSIVE o AS (SELECT o_orderkey AS k, o_custkey, o_orderdate, lead(o_orderkey) OVER w AS nk, lead(o_orderdate) OVER w AS nd FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)), g AS (SELECT *, lag(o_orderdate) OVER w AS pd FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)), h AS (SELECT *, sum(CASE WHEN pd IS NULL OR date_diff('day', pd, o_orderdate) > 100 THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS run FROM g) SELECT o_orderkey AS node, min(o_orderkey) OVER (PARTITION BY o_custkey, run) AS component FROM h QUALIFY count(*) OVER (PARTITION BY o_custkey, run) > 1")
 def connected_drives(spark, d):
     """Orders of a customer at most 100 days after the one before belong together."""
-    _checkpoints(spark)
+    spatial.checkpoints(spark)
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("a"), F.lead("o_orderkey").over(w).alias("b"), F.datediff(F.lead("o_orderdate").over(w), F.col("o_orderdate")).alias("gap"))
     return spatial.connected(o.where("b IS NOT NULL AND gap <= 100").select("a", "b"))

@@ -45,11 +45,26 @@ def timestamp_guard(spark, d):
 
 @query("rejection_resets", f"WITH {_N}, x AS (SELECT *, k > 40 AS rejected FROM o), i AS (SELECT *, sum(CASE WHEN rejected THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS island FROM x), c AS (SELECT *, CAST(sum(CASE WHEN rejected THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, island ORDER BY n ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM i) SELECT user_id, event_id, CASE WHEN run = 0 THEN 0 ELSE (run - 1) % 3 + 1 END AS streak, run > 0 AND run % 3 = 0 AS reset FROM c")
 def rejection_resets(spark, d):
-    e = events(spark, d).withColumn("rejected", F.col("k") > 40)
-    return m.over_batch(e, "user_id", ["t_us", "event_id"], ["event_id", "rejected"], m.RESET_START, m.reset_step(3), "user_id long, event_id long, streak long, reset boolean")
+    """Runs of rejected fixes counted in threes, by windows alone."""
+    w = Window.partitionBy("user_id").orderBy("t_us", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    e = events(spark, d).withColumn("rejected", F.col("k") > 40).withColumn("island", F.sum((~F.col("rejected")).cast("int")).over(w))
+    run = F.sum(F.col("rejected").cast("long")).over(Window.partitionBy("user_id", "island").orderBy("t_us", "event_id").rowsBetween(Window.unboundedPreceding, 0))
+    e = e.withColumn("run", run)
+    return e.select("user_id", "event_id", F.when(F.col("run") == 0, 0).otherwise((F.col("run") - 1) % 3 + 1).alias("streak"), ((F.col("run") > 0) & (F.col("run") % 3 == 0)).alias("reset"))
 
 
-@query("output_smoother")
+_TO = "q.o1 + CASE WHEN abs(q.x - q.x0) > 10 THEN q.x0 - q.x ELSE 0 END"
+
+
+@query(
+    "output_smoother",
+    f"""WITH RECURSIVE {_N}, s AS (SELECT user_id, event_id, n, t_us / {HOUR}e0 AS t, value AS x FROM o), r AS (
+  SELECT user_id, event_id, n, t, x, 0e0 AS off, 0e0 AS rate FROM s WHERE n = 1
+  UNION ALL
+  SELECT q.user_id, q.event_id, q.n, q.t, q.x, {_TO}, CASE WHEN abs(q.x - q.x0) > 10 THEN greatest(0.5e0, abs({_TO}) / 10) ELSE q.rate END
+  FROM (SELECT s.*, r.x AS x0, r.rate, CASE WHEN r.off > 0 THEN 1 ELSE -1 END * greatest(0e0, abs(r.off) - r.rate * (s.t - r.t)) AS o1 FROM r JOIN s ON s.user_id = r.user_id AND s.n = r.n + 1) q)
+SELECT user_id, event_id, round(x + off, 6) AS smooth FROM r""",
+)
 def output_smoother(spark, d):
     e = events(spark, d).withColumn("t", F.col("t_us") / HOUR)
-    return m.over_batch(e, "user_id", ["t", "event_id"], ["event_id", "t", "value"], m.SMOOTH_START, m.smoother_step(10.0, 0.5, 10.0), "user_id long, event_id long, smooth double")
+    return m.over_batch(e, "user_id", ["t", "event_id"], ["event_id", "t", "value"], m.SMOOTH_START, m.smoother_step(10.0, 0.5, 10.0), "user_id long, event_id long, smooth double").withColumn("smooth", F.round("smooth", 6))

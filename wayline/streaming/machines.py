@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 State = tuple[Any, ...]
@@ -20,16 +21,17 @@ Step = Callable[[State, tuple], tuple[State, tuple]]
 
 def over_batch(df: DataFrame, key: str, order: list[str], columns: list[str], start: State, step: Step, schema: str) -> DataFrame:
     """Folds step over each session's rows (columns), one output row each: the key, then step's output."""
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([(c, "ascending") for c in order])
         state, out = start, []
-        for row in pdf[columns].itertuples(index=False, name=None):
+        for row in zip(*(t[c].to_pylist() for c in columns), strict=True):
             state, made = step(state, row)
-            out.append((pdf[key].iloc[0], *made))
-        return pd.DataFrame(out, columns=[c.strip().split(" ")[0] for c in schema.split(",")])
+            out.append(made)
+        return pa.table([t[key].combine_chunks(), *map(pa.array, zip(*out, strict=True))], names=names)
 
-    return df.select(*dict.fromkeys([key, *order, *columns])).groupBy(key).applyInPandas(run, schema)
+    return df.select(*dict.fromkeys([key, *order, *columns])).groupBy(key).applyInArrow(run, schema)
 
 
 def over_stream(df: DataFrame, key: str, order: list[str], columns: list[str], start: State, step: Step, schema: str, state_schema: str) -> DataFrame:
