@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import types as T
 
 from wayline.sources import logs
-from wayline.streaming import filters, machines, matching
+from wayline.streaming import machines, matching
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -25,44 +25,6 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(spark.table("states").collect()) == sorted(batch.collect())
 
 
-def drive(noise=0.0, seed=0):
-    """Ten hertz for 60 s on a circle, fixes each second."""
-    r, rows = np.random.default_rng(seed), []
-    for k in range(600):
-        t, speed, rate = k / 10, 10.0, 0.1
-        radius = speed / rate
-        acc = np.array([0.0, speed * rate, 9.80665]) + r.normal(0, noise, 3)
-        x, y = radius * np.sin(rate * t), radius * (1 - np.cos(rate * t))
-        fix = (x + r.normal(0, noise), y + r.normal(0, noise), 3.0) if k % 10 == 0 else (None, None, None)
-        rows.append((1, t, *map(float, acc), 0.0, 0.0, rate, *fix, x, y))
-    names = ["session_id", "t", "acc_x", "acc_y", "acc_z", "gyro_x", "gyro_y", "gyro_z", "fix_x", "fix_y", "fix_acc", "true_x", "true_y"]
-    return pd.DataFrame(rows, columns=names)
-
-
-def test_filter_follows_a_drive(spark):
-    data = drive(0.2)
-    got = filters.track_sessions(spark.createDataFrame(data)).toPandas().sort_values("t")
-    assert (got["status"] == "navigating").all() and got["rejected"].iloc[-1] == 0
-    error = np.hypot(got["x"].to_numpy() - data["true_x"], got["y"].to_numpy() - data["true_y"])
-    assert error[300:].max() < 4 and got["accepted"].iloc[-1] == 59
-
-
-def test_filter_steps():
-    f = filters.Filter.start((0, 0, 0), (10, 0, 0), 0.0, (1.0, 0.1, 0.01))
-    for _ in range(600):
-        f.propagate(np.array([0.0, 1.0, 9.80665]), np.array([0.0, 0.0, 0.1]), 0.1)
-    assert np.allclose(f.position[:2], [100 * np.sin(6.0), 100 * (1 - np.cos(6.0))], atol=0.5)
-    with pytest.raises(ValueError):
-        f.propagate(np.zeros(3), np.zeros(3), 0.0)
-    assert f.straight()[0] in (True, False)
-    for _ in range(3):
-        f.fix(np.array([1e6, 0.0, 0.0]), 1.0)
-    assert f.rejected == 3 and np.allclose(f.position, [1e6, 0, 0])
-    f.covariance[0, 0] = np.nan
-    with pytest.raises(filters.CovarianceError):
-        f.propagate(np.zeros(3), np.zeros(3), 0.1)
-
-
 def test_matching_against_all_paths():
     r = np.random.default_rng(1)
     epochs = [(list(range(3)), r.normal(size=3)) for _ in range(5)]

@@ -146,3 +146,12 @@ def circle_probability(radius: Column, sigma: Column) -> Column:
 
 #: 68 % of a round normal error is within this many sigmas.
 RADIUS_68 = math.sqrt(-2 * math.log(1 - 0.68))
+
+
+@bound
+def course_and_sigma(ve: Column, vn: Column, var_e: Column, cov: Column, var_n: Column) -> Column:
+    """struct<course,sigma,speed>: direction from east, its sigma to first order, horizontal speed; under 1 mm/s it is 0 and pi."""
+    s2 = ve * ve + vn * vn
+    var = (vn * vn * var_e - 2 * vn * ve * cov + ve * ve * var_n) / (s2 * s2)
+    slow = F.sqrt(s2) < 1e-3
+    return F.struct(F.when(slow, 0.0).otherwise(F.atan2(vn, ve)).alias("course"), F.when(slow, math.pi).otherwise(F.sqrt(F.greatest(var, F.lit(0.0)))).alias("sigma"), F.sqrt(s2).alias("speed"))

@@ -282,3 +282,15 @@ def levelling(up: Column) -> Column:
     u = vec(up.x / n, up.y / n, up.z / n)
     w = 1 + u.z
     return F.when(w < 1e-12, quat(0.0, 1.0, 0.0, 0.0)).otherwise(normalized(quat(F.greatest(w, F.lit(1e-12)), u.y, -u.x, 0.0)))
+
+
+def mapped(v: Column, places: tuple[int | None, int | None, int | None]) -> Column:
+    """Raw columns as axes: for each axis the signed place (1, 2 or 3) it is read from; None: not measured, null.
+
+    A place that is used twice raises.
+    """
+    used = [abs(p) for p in places if p is not None]
+    if len(set(used)) != len(used) or not set(used) <= {1, 2, 3}:
+        raise ValueError(f"not a signed partial permutation: {places}")
+    axis = lambda p: F.lit(None).cast("double") if p is None else v["xyz"[abs(p) - 1]] * (1 if p > 0 else -1)
+    return vec(*map(axis, places))

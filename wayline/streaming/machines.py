@@ -8,6 +8,7 @@ give the same rows for the same input.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -57,28 +58,39 @@ def over_stream(df: DataFrame, key: str, order: list[str], columns: list[str], s
 GNSS_START: State = ("LOST", 0, None)
 
 
+def gnss_aged(state: State, t: float, degraded_after: float, lost_after: float) -> State:
+    """What the age of the last fix does: a good state degrades, any state is lost."""
+    name, streak, last = state
+    age = math.inf if last is None else t - last
+    if age > lost_after:
+        return "LOST", 0 if name != "LOST" else streak, last
+    if name == "GOOD" and age > degraded_after:
+        return "DEGRADED", 0, last
+    return state
+
+
+def gnss_fixed(state: State, t: float, good: bool) -> State:
+    """What a fix does: three good ones after a loss, two after a bad one, make a good state."""
+    name, streak, _ = state
+    if name == "LOST":
+        return "RECOVERING", int(good), t
+    if not good:
+        return "DEGRADED", 0, t
+    if name == "GOOD":
+        return name, streak, t
+    streak += 1
+    return ("GOOD", 0, t) if streak >= (3 if name == "RECOVERING" else 2) else (name, streak, t)
+
+
 def gnss_step(degraded_after: float, lost_after: float, good_accuracy: float) -> Step:
     """GOOD, DEGRADED, LOST and RECOVERING by the age and accuracy of fixes (event_id, t, accuracy)."""
 
     def step(state: State, row: tuple) -> tuple[State, tuple]:
-        name, streak, last = state
         event_id, t, accuracy = row
-        if last is not None:
-            age = t - last
-            if age > lost_after:
-                name, streak = "LOST", 0
-            elif name == "GOOD" and age > degraded_after:
-                name, streak = "DEGRADED", 0
-        good = accuracy <= good_accuracy
-        if name == "LOST":
-            name, streak = "RECOVERING", int(good)
-        elif name == "RECOVERING":
-            name, streak = (("GOOD", 0) if streak + 1 >= 3 else (name, streak + 1)) if good else ("DEGRADED", 0)
-        elif name == "DEGRADED":
-            name, streak = (("GOOD", 0) if streak + 1 >= 2 else (name, streak + 1)) if good else (name, 0)
-        elif not good:
-            name, streak = "DEGRADED", 0
-        return (name, streak, t), (event_id, name, streak)
+        if state[2] is not None:
+            state = gnss_aged(state, t, degraded_after, lost_after)
+        state = gnss_fixed(state, t, accuracy <= good_accuracy)
+        return state, (event_id, state[0], state[1])
 
     return step
 
