@@ -91,9 +91,10 @@ def history(left: DataFrame, states: DataFrame, by: Keys, epoch: str, received:
     a later one is not there yet. Of two states equally near the earlier one counts.
     Adds r_at, and the values as r_<name>; null where the history is empty.
     """
-    found = left
+    # before the horizon all states of the history are later, and the first of them is nearest
+    asked = left.select(*by, key, F.greatest(F.col(epoch), F.col(received) - horizon).alias(epoch))
     states = states.withColumnRenamed(at, epoch)
-    pair = lambda how: asof(left, states, by, epoch, key, state_key, [state_key, *values], how).select(key, F.struct(F.col("match_at").alias("at"), *(F.col(f"r_{v}").alias(v) for v in values)).alias(how))
+    pair = lambda how: asof(asked, states, by, epoch, key, state_key, values, how).select(key, F.struct(F.col("match_at").alias("at"), *(F.col(f"r_{v}").alias(v) for v in values)).alias(how))
     found = left.join(pair("backward"), key).join(pair("forward"), key)
     ok = lambda s: F.when((F.col(f"{s}.at") >= F.col(received) - horizon) & (F.col(f"{s}.at") <= F.col(received)), F.col(s))
     b, a = ok("backward"), ok("forward")

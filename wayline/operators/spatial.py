@@ -7,7 +7,7 @@ joins; between rounds the frontier is checkpointed in the shared folder.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -37,8 +37,6 @@ def oneway(tag: Column, junction: Column, highway: Column) -> Column:
 
 def way_segments(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     """Directed segments (way_id, a, b) between neighbouring known nodes of each way (way_id, refs, forward, backward)."""
-    from pyspark.sql import Window
-
     refs = ways.select("way_id", "forward", "backward", F.posexplode("refs").alias("pos", "node_id")).join(nodes.select("node_id"), "node_id", "left_semi")
     pairs = refs.withColumn("next", F.lead("node_id").over(Window.partitionBy("way_id").orderBy("pos"))).where("next IS NOT NULL")
     ahead = pairs.where("forward").select("way_id", F.col("node_id").alias("a"), F.col("next").alias("b"))
@@ -66,7 +64,59 @@ def candidates(points: DataFrame, segments: DataFrame, radius: float, cell: floa
     s = segments.withColumn("c", F.explode(cells(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), cell)))
     met = p.join(s, "c").dropDuplicates(["point_id", "segment_id"])
     hit = met.withColumn("p", projected(*(F.col(n) for n in ("px", "py", "ax", "ay", "bx", "by"))))
-    return hit.where(F.col("p.distance") <= radius).select("point_id", "segment_id", F.col("p.fraction").alias("fraction"), F.col("p.distance").alias("distance"))
+    return hit.where(F.col("p.distance") <= radius).select("point_id", "segment_id", F.col("p.fraction").alias("fraction"), F.col("p.distance").alias("distance"), F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+
+
+#: Fixed values of matching: candidates kept, metres of the map's own error, a road's heading in radians, the speed from which a heading counts.
+CANDIDATES, MAP_SIGMA, ROAD_HEADING, HEADING_SPEED = 12, 5.0, 0.3490658503988659, 2.0
+
+
+def emissions(candidates: DataFrame, map_sigma: float = MAP_SIGMA, keep: int = CANDIDATES) -> DataFrame:
+    """Candidates with m2, the squared Mahalanobis distance, and score, its log likelihood; the keep nearest of each point.
+
+    candidates: point_id, segment_id, dx, dy (candidate less observation), the
+    covariance of the observation cxx, cxy, cyy, and road_heading, heading,
+    heading_sigma, speed. The heading counts from HEADING_SPEED on, as a von Mises term.
+    """
+    a, b, c = F.col("cxx") + map_sigma**2, F.col("cxy"), F.col("cyy") + map_sigma**2
+    dx, dy = F.col("dx"), F.col("dy")
+    m2 = (c * dx * dx - 2 * b * dx * dy + a * dy * dy) / (a * c - b * b)
+    kappa = 1 / (F.pow("heading_sigma", 2) + ROAD_HEADING**2)
+    turn = F.when(F.col("heading").isNotNull() & (F.col("speed") >= HEADING_SPEED), kappa * (F.cos(F.col("road_heading") - F.col("heading")) - 1)).otherwise(0.0)
+    out = candidates.withColumn("m2", m2).withColumn("score", -0.5 * F.col("m2") + turn)
+    place = F.row_number().over(Window.partitionBy("point_id").orderBy(F.round("m2", 9), "segment_id"))
+    return out.withColumn("_n", place).where(F.col("_n") <= keep).drop("_n")
+
+
+def route_lengths(pairs: DataFrame, segments: DataFrame, routes: DataFrame) -> DataFrame:
+    """pairs (from_segment, from_fraction, to_segment, to_fraction, cutoff, ...) with length, the way along permitted directions; null beyond the cutoff.
+
+    segments: segment_id, a, b (its nodes), metres; routes: source, node, length, as
+    bounded_routes gives them. Ahead on one segment the way is that part of it.
+    """
+    one = segments.select(F.col("segment_id").alias("from_segment"), F.col("b").alias("_out"), F.col("metres").alias("_m1"))
+    two = segments.select(F.col("segment_id").alias("to_segment"), F.col("a").alias("_in"), F.col("metres").alias("_m2"))
+    r = routes.select(F.col("source").alias("_out"), F.col("node").alias("_in"), F.col("length").alias("_mid"))
+    p = pairs.join(one, "from_segment").join(two, "to_segment").join(r, ["_out", "_in"], "left")
+    ahead = (F.col("from_segment") == F.col("to_segment")) & (F.col("to_fraction") >= F.col("from_fraction"))
+    whole = (1 - F.col("from_fraction")) * F.col("_m1") + F.col("_mid") + F.col("to_fraction") * F.col("_m2")
+    length = F.when(ahead, (F.col("to_fraction") - F.col("from_fraction")) * F.col("_m1")).when(whole <= F.col("cutoff"), whole)
+    return p.select(*pairs.columns, length.alias("length"))
+
+
+def ways_of(df: DataFrame, segments: DataFrame, ways: DataFrame) -> DataFrame:
+    """df (segment_id, ...) with the way and its tags; a way without tags has null."""
+    return df.join(segments.select("segment_id", "way_id"), "segment_id", "left").join(ways.select("way_id", "tags"), "way_id", "left")
+
+
+def save_roads(path: str, nodes: DataFrame, segments: DataFrame, ways: DataFrame) -> None:
+    """The graph as three tables below a folder."""
+    for name, df in (("nodes", nodes), ("segments", segments), ("ways", ways)):
+        df.write.option("compression", "zstd").parquet(f"{path}/{name}")
+
+
+def load_roads(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return tuple(spark.read.parquet(f"{path}/{name}") for name in ("nodes", "segments", "ways"))
 
 
 def bounded_routes(edges: DataFrame, sources: DataFrame, cutoff: float) -> DataFrame:

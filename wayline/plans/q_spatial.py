@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayline.operators import spatial
+from wayline.operators import ranks, spatial
 from wayline.plans.catalog import query
 from wayline.plans.tables import events, table
 
@@ -65,13 +65,83 @@ def spatial_candidates(spark, d):
     return c.select("point_id", "segment_id", F.round("fraction", 6).alias("fraction"), F.round("distance", 6).alias("distance"))
 
 
-@query("emission_scores", f"WITH {_EDGES}, {_POINTS}, c AS (SELECT point_id, segment_id, {_DIST} AS distance FROM p, s WHERE {_DIST} <= 30) SELECT point_id, segment_id, round(-0.5 * distance * distance / 25, 6) AS score FROM c QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY round(distance, 9), segment_id) <= 4")
+_CXY = "(point_id % 4) * 4 - 4"
+_H, _HS, _SP = "(point_id % 63) / 10.0 - 3.1", "0.1 + (point_id % 3) / 10.0", "point_id % 5"
+_RH = "atan2(by_ - ay, bx - ax)"
+_M2 = f"((61.0 * dx * dx - 2 * ({_CXY}) * dx * dy + 50.0 * dy * dy) / (50.0 * 61.0 - ({_CXY}) * ({_CXY})))"
+_EMIT = f"c AS (SELECT point_id, segment_id, ax + {_T} * (bx - ax) - px AS dx, ay + {_T} * (by_ - ay) - py AS dy, {_RH} AS rh FROM p, s WHERE {_DIST} <= 60), m AS (SELECT *, {_M2} AS m2 FROM c)"
+
+
+def _emitted(spark, d):
+    """Candidates within 60 m with a covariance, a heading and a speed for each point."""
+    seg, points = _segments(spark, d), _points(spark, d)
+    c = spatial.candidates(points, seg, 60.0, 50.0).join(points, "point_id").join(seg, "segment_id")
+    n = F.col("point_id")
+    heading = F.atan2(F.col("by") - F.col("ay"), F.col("bx") - F.col("ax"))
+    return c.select("point_id", "segment_id", "fraction", "x", "y", (F.col("x") - F.col("px")).alias("dx"), (F.col("y") - F.col("py")).alias("dy"), F.lit(25.0).alias("cxx"), (n % 4 * 4 - 4).cast("double").alias("cxy"), F.lit(36.0).alias("cyy"), heading.alias("road_heading"), (n % 63 / 10.0 - 3.1).alias("heading"), (0.1 + n % 3 / 10.0).alias("heading_sigma"), (n % 5).cast("double").alias("speed"))
+
+
+@query("emission_scores", f"WITH {_EDGES}, {_POINTS}, {_EMIT} SELECT point_id, segment_id, round(m2, 6) AS m2, round(-0.5 * m2 + CASE WHEN {_SP} >= 2 THEN (cos(rh - ({_H})) - 1) / (pow({_HS}, 2) + {spatial.ROAD_HEADING**2!r}) ELSE 0 END, 6) AS score FROM m QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY round(m2, 9), segment_id) <= 12")
 def emission_scores(spark, d):
-    from wayline.operators.sequence import top_k
+    """The twelve nearest candidates by Mahalanobis distance, with the term of the heading."""
+    e = spatial.emissions(_emitted(spark, d))
+    return e.select("point_id", "segment_id", F.round("m2", 6).alias("m2"), F.round("score", 6).alias("score"))
 
-    c = spatial.candidates(_points(spark, d), _segments(spark, d), 30.0, 50.0)
-    best = top_k(c, ["point_id"], [F.round("distance", 9), F.col("segment_id")], 4)
-    return best.select("point_id", "segment_id", F.round(-0.5 * F.col("distance") * F.col("distance") / 25, 6).alias("score"))
+
+@query("route_lengths", f"WITH RECURSIVE {_EDGES}, r AS (SELECT node_id AS source, node_id AS node, 0 AS length FROM n UNION SELECT r.source, s.b, r.length + 100 FROM r JOIN s ON s.a = r.node WHERE r.length + 100 <= 300), d AS (SELECT source, node, min(length) AS length FROM r GROUP BY ALL), q AS (SELECT o_orderkey AS k, (o_orderkey % 10) / 10.0 AS f, (o_custkey % 10) / 10.0 AS g, o_orderkey * 7 % (SELECT count(*) FROM s) AS i, o_custkey * 11 % (SELECT count(*) FROM s) AS j FROM orders), t AS (SELECT *, row_number() OVER (ORDER BY segment_id) - 1 AS i FROM s) SELECT k, round(CASE WHEN x.segment_id = y.segment_id AND g >= f THEN (g - f) * 100 WHEN (1 - f) * 100 + d.length + g * 100 <= 350 THEN (1 - f) * 100 + d.length + g * 100 END, 6) AS length FROM q JOIN t x ON x.i = q.i JOIN t y ON y.i = q.j LEFT JOIN d ON d.source = x.b AND d.node = y.a")
+def route_lengths(spark, d):
+    """Ways between points on segments, of at most 350 m; ahead on one segment straight on."""
+    spatial.checkpoints(spark)
+    seg = _segments(spark, d)
+    routes = spatial.bounded_routes(seg.select("a", "b", F.lit(100.0).alias("w")), _nodes(spark, d), 300.0)
+    numbered = ranks.placed(seg.select("segment_id"), [F.col("segment_id")], "i", 4)
+    count = seg.agg(F.count("*").alias("n"))
+    o = table(spark, d, "orders").join(F.broadcast(count)).select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 10 / 10.0).alias("from_fraction"), (F.col("o_custkey") % 10 / 10.0).alias("to_fraction"), (F.col("o_orderkey") * 7 % F.col("n") + 1).alias("i"), (F.col("o_custkey") * 11 % F.col("n") + 1).alias("j"), F.lit(350.0).alias("cutoff"))
+    pairs = o.join(numbered.withColumnRenamed("segment_id", "from_segment"), "i").join(numbered.select(F.col("segment_id").alias("to_segment"), F.col("i").alias("j")), "j")
+    return spatial.route_lengths(pairs, seg.withColumn("metres", F.lit(100.0)), routes).select("k", F.round("length", 6).alias("length"))
+
+
+@query("way_tags", f"WITH {_EDGES} SELECT segment_id, b % 3 AS way_id, CASE WHEN b % 3 < 2 THEN 'road ' || b % 3 END AS name FROM s")
+def way_tags(spark, d):
+    """The way of a segment and its tags; way 2 has none."""
+    seg = _segments(spark, d).withColumn("way_id", F.col("b") % 3)
+    ways = spark.range(2).select(F.col("id").alias("way_id"), F.create_map(F.lit("name"), F.concat(F.lit("road "), F.col("id").cast("string"))).alias("tags"))
+    return spatial.ways_of(seg.select("segment_id"), seg, ways).select("segment_id", "way_id", F.col("tags")["name"].alias("name"))
+
+
+@query("matcher_rate", f"""WITH RECURSIVE e AS (SELECT event_id, user_id, value, epoch_us(ts) AS t_us, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+o AS (SELECT *, row_number() OVER w AS n, coalesce(sqrt(pow(value - lag(value) OVER w, 2) + pow(k - lag(k) OVER w, 2)), 0) AS step FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t_us, event_id)),
+r AS (SELECT user_id, event_id, n, t_us, t_us AS last, true AS emitted, CAST(NULL AS DOUBLE) AS travelled, 0e0 AS way FROM o WHERE n = 1
+  UNION ALL SELECT o.user_id, o.event_id, o.n, o.t_us, CASE WHEN o.t_us - r.last >= 86400000000 THEN o.t_us ELSE r.last END, o.t_us - r.last >= 86400000000, CASE WHEN o.t_us - r.last >= 86400000000 THEN r.way + o.step END, CASE WHEN o.t_us - r.last >= 86400000000 THEN 0 ELSE r.way + o.step END FROM r JOIN o ON o.user_id = r.user_id AND o.n = r.n + 1)
+SELECT event_id, round(travelled, 5) AS travelled FROM r WHERE emitted""")
+def matcher_rate(spark, d):
+    """At most one emission a day, each with the way of all samples since the last."""
+    from wayline.streaming import machines as m
+
+    out = m.over_batch(events(spark, d), "user_id", ["t_us", "event_id"], ["event_id", "t_us", "value", "k"], m.RATE_START, m.rate_step(86_400_000_000), "user_id long, event_id long, emitted boolean, travelled double")
+    return out.where("emitted").select("event_id", F.round("travelled", 5).alias("travelled"))
+
+
+@query("matched_trips", "SELECT i AS trip, true AS all_on_road, true AS sure, 1::BIGINT AS n_suspensions FROM range(0, 4) t(i)")
+def matched_trips(spark, d):
+    """Noisy trips along known roads, with a stretch far off all of them: matched on their road, suspended off it, and sure again after it."""
+    from wayline.streaming import matching
+
+    seg = _segments(spark, d)
+    t = spark.range(4).select(F.col("id").alias("trip"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(35).cast("long"))).alias("epoch"))
+    off = F.col("epoch").between(12, 19)
+    wobble = lambda k: (F.pmod(F.xxhash64("trip", "epoch", F.lit(k)), F.lit(1000)) / 1000.0 - 0.5) * 8
+    points = t.select("trip", "epoch", (F.col("trip") * 1000 + F.col("epoch")).alias("point_id"), (F.col("epoch") * 11.0 + wobble(1)).alias("px"), (F.col("trip") * 100.0 + F.when(off, 5000.0).otherwise(0.0) + wobble(2)).alias("py"))
+    c = spatial.candidates(points.select("point_id", "px", "py"), seg, 40.0, 50.0).join(points, "point_id", "right").join(seg, "segment_id", "left")
+    heading = F.atan2(F.col("by") - F.col("ay"), F.col("bx") - F.col("ax"))
+    c = c.select("trip", "epoch", "point_id", "segment_id", "fraction", "x", "y", (F.col("x") - F.col("px")).alias("dx"), (F.col("y") - F.col("py")).alias("dy"), F.lit(9.0).alias("cxx"), F.lit(0.0).alias("cxy"), F.lit(9.0).alias("cyy"), heading.alias("road_heading"), F.lit(0.0).alias("heading"), F.lit(0.1).alias("heading_sigma"), F.lit(11.0).alias("speed"), F.lit(11.0).alias("travelled"), (F.col("ay") == F.col("by")).alias("east"))
+    spatial.checkpoints(spark)
+    routes = spatial.bounded_routes(seg.select("a", "b", F.lit(100.0).alias("w")), _nodes(spark, d), 300.0)
+    out = matching.match_online(spatial.emissions(c), seg.withColumn("metres", F.lit(100.0)), routes, "trip")
+    m = out.join(seg.select(F.col("segment_id"), "ay", "by"), "segment_id", "left")
+    road = (F.col("ay") == F.col("trip") * 100) & (F.col("by") == F.col("trip") * 100)
+    g = m.groupBy("trip").agg(F.bool_and(road | (F.col("mode") != "matched")).alias("all_on_road"), (F.min(F.when((F.col("mode") == "matched") & (F.col("epoch") > 25), F.col("confidence"))) > 0.9).alias("sure"), F.max("suspensions").alias("n_suspensions"))
+    return g
 
 
 @query("bounded_routes", f"WITH RECURSIVE {_EDGES}, r AS (SELECT node_id AS source, node_id AS node, 0 AS length FROM n UNION SELECT r.source, s.b, r.length + 100 FROM r JOIN s ON s.a = r.node WHERE r.length + 100 <= 300) SELECT source, node, CAST(min(length) AS DOUBLE) AS length FROM r GROUP BY ALL")

@@ -129,3 +129,39 @@ def smoother_step(jump: float, least_rate: float, horizon: float) -> Step:
         return ((t, x), offset, rate), (event_id, x + offset)
 
     return step
+
+
+SHOCK_START: State = (None, 0)
+
+
+def shock_step(threshold: float, weight: float, warmup: int) -> Step:
+    """Bins (bin, hi, lo, mean) against an exponential mean of those before: bin, peak, suppressed, shock."""
+
+    def step(state: State, row: tuple) -> tuple[State, tuple]:
+        base, n = state
+        at, hi, lo, mean = row
+        if base is None:
+            return (mean, 1), (at, None, None, False)
+        peak = max(abs(hi - base), abs(lo - base))
+        shock = n >= warmup and peak > threshold
+        return (base + weight * (mean - base), n + 1), (at, peak, abs(mean - base) < threshold, shock)
+
+    return step
+
+
+RATE_START: State = (None, None, None, 0.0)
+
+
+def rate_step(period: float) -> Step:
+    """At most one emission a period, with the way since the last one (event_id, t, x, y): event_id, emitted, travelled."""
+
+    def step(state: State, row: tuple) -> tuple[State, tuple]:
+        last, px, py, way = state
+        event_id, t, x, y = row
+        if px is not None:
+            way += math.hypot(x - px, y - py)
+        if last is not None and t - last < period:
+            return (last, x, y, way), (event_id, False, None)
+        return (t, x, y, 0.0), (event_id, True, None if last is None else way)
+
+    return step

@@ -1,15 +1,24 @@
 """Hidden-Markov map matching: forward filter, Viterbi path and confidence over candidate segments.
 
 Candidates with their emission scores, and route lengths between nodes, come
-from DataFrames; here is the recurrence over one trajectory.
+from DataFrames; here is the recurrence over one trajectory. ``Chain`` takes
+epochs as they come: it starts again where no way leads on, stops after epochs
+that no road explains, and goes on after as many that one does. ``match`` takes a
+whole trajectory at once.
 """
 
 from __future__ import annotations
 
+from collections import Counter, deque
+from dataclasses import dataclass, field
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+#: The scale of a transition in metres, the way's cutoff (factor and slack), the gate of an epoch, epochs to stop and to go on, metres within which candidates agree, epochs kept.
+BETA, CUTOFF_FACTOR, CUTOFF_SLACK, GATE, STOP_AFTER, GO_AFTER, AGREE, MOST_EPOCHS = 10.0, 2.0, 100.0, 13.8, 3, 3, 10.0, 3600
+
 
 def log_sum_exp(a: np.ndarray, axis: int = 0) -> np.ndarray:
     """Stable log of a sum of exponentials; all minus infinity gives minus infinity."""
@@ -19,6 +28,146 @@ def log_sum_exp(a: np.ndarray, axis: int = 0) -> np.ndarray:
         return np.log(np.exp(a - np.expand_dims(safe, axis)).sum(axis=axis)) + safe
 
 
+@dataclass
+class Epoch:
+    """Candidates of an observation: segments, places on them, squared Mahalanobis distances and log scores."""
+
+    segments: list[int]
+    fractions: np.ndarray
+    places: np.ndarray
+    m2: np.ndarray
+    scores: np.ndarray
+
+
+@dataclass
+class Chain:
+    """The online matcher's state; ways(before, now, cutoff) gives lengths [before, now], infinite where there is none."""
+
+    ways: object
+    suspended: bool = False
+    good: int = 0
+    bad: int = 0
+    way: float = 0.0
+    alpha: np.ndarray | None = None
+    kept: deque = field(default_factory=lambda: deque(maxlen=MOST_EPOCHS))
+    counts: Counter = field(default_factory=Counter)
+
+    def reset(self) -> None:
+        """Forgets the chain and all it counted."""
+        self.suspended, self.good, self.bad, self.way, self.alpha = False, 0, 0, 0.0, None
+        self.kept.clear()
+        self.counts.clear()
+
+    def step(self, epoch: Epoch, travelled: float) -> tuple[str, int | None, float]:
+        """What became of an epoch (matched, suspended, implausible, no_candidates), its segment, and the confidence."""
+        self.way += travelled
+        plausible = len(epoch.segments) > 0 and float(epoch.m2.min()) <= GATE
+        self.good, self.bad = (self.good + 1, 0) if plausible else (0, self.bad + 1)
+        if not self.suspended and self.bad >= STOP_AFTER:
+            self.suspended, self.alpha, self.way = True, None, 0.0
+            self.kept.clear()
+            self.counts["suspensions"] += 1
+        if self.suspended:
+            if self.good < GO_AFTER:
+                return "suspended", None, 0.0
+            self.suspended = False
+            self.counts["reentries"] += 1
+        if not plausible:
+            return ("implausible" if epoch.segments else "no_candidates"), None, 0.0
+        back = None
+        alpha = delta = epoch.scores
+        if self.alpha is not None:
+            before, last = self.kept[-1][0], self.kept[-1][1]
+            length = self.ways(before, epoch, CUTOFF_FACTOR * self.way + CUTOFF_SLACK)
+            t = -np.abs(length - self.way) / BETA
+            moved = log_sum_exp(self.alpha[:, None] + t) + epoch.scores
+            if np.isfinite(moved).any():
+                paths = last[:, None] + t
+                back, alpha, delta = paths.argmax(axis=0), moved, paths.max(axis=0) + epoch.scores
+            else:
+                self.counts["breaks"] += 1
+        if back is None:
+            self.kept.clear()  # a chain of its own
+        self.alpha, self.way = alpha - log_sum_exp(alpha), 0.0
+        self.kept.append((epoch, delta - delta.max(), back))
+        posterior = np.exp(self.alpha)
+        best = int(posterior.argmax())
+        near = np.hypot(*(epoch.places - epoch.places[best]).T) <= AGREE
+        return "matched", epoch.segments[best], float(min(1.0, posterior[near].sum()))
+
+    def path(self) -> list[int]:
+        """The most likely segments of the epochs since the last break."""
+        out, k = [], None
+        for epoch, delta, back in reversed(self.kept):
+            k = int(delta.argmax()) if k is None else k
+            out.append(epoch.segments[k])
+            if back is None:
+                break
+            k = int(back[k])
+        return out[::-1]
+
+
+def road_ways(segments: dict[int, tuple[int, int, float]], routes: dict[tuple[int, int], float]):
+    """Lengths between candidates from a table of segments (a, b, metres) and of routes between nodes."""
+
+    def ways(before: Epoch, now: Epoch, cutoff: float) -> np.ndarray:
+        out = np.full((len(before.segments), len(now.segments)), np.inf)
+        for i, (s, f) in enumerate(zip(before.segments, before.fractions)):
+            _, end, metres = segments[s]
+            for j, (u, g) in enumerate(zip(now.segments, now.fractions)):
+                if s == u and g >= f:
+                    out[i, j] = (g - f) * metres
+                elif (mid := routes.get((end, segments[u][0]))) is not None:
+                    whole = (1 - f) * metres + mid + g * segments[u][2]
+                    out[i, j] = whole if whole <= cutoff else np.inf
+        return out
+
+    return ways
+
+
+def match_online(candidates: DataFrame, segments: DataFrame, routes: DataFrame, key: str) -> DataFrame:
+    """The chain over every trajectory: key, epoch, mode, segment_id, confidence, path_segment (of the smoothed path; null off it), suspensions.
+
+    candidates: key, epoch, segment_id (null: none), fraction, x, y, m2, score and
+    travelled, the way since the epoch before. Only the segments and routes that a
+    trajectory can use go to its task.
+    """
+    from pyspark.sql import functions as F
+
+    used = candidates.where("segment_id IS NOT NULL").select(key, "segment_id").distinct()
+    mine = used.join(segments.select("segment_id", "a", "b", "metres"), "segment_id")
+    ends = mine.select(key, F.col("b").alias("source")).distinct().join(routes, "source")
+    ends = ends.join(mine.select(key, F.col("a").alias("node")).distinct(), [key, "node"])
+    road = mine.select(key, F.lit(0).alias("kind"), "segment_id", "a", "b", "metres").unionByName(ends.select(key, F.lit(1).alias("kind"), F.lit(None).cast("long").alias("segment_id"), F.col("source").cast("long").alias("a"), F.col("node").cast("long").alias("b"), F.col("length").alias("metres")))
+    schema = f"{key} long, epoch long, mode string, segment_id long, confidence double, path_segment long, suspensions long"
+
+    def run(c: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if not len(c):
+            return pd.DataFrame(columns=[x.strip().split(" ")[0] for x in schema.split(",")])
+        lengths = {(int(a), int(b)): m for k, a, b, m in r[["_kind", "_a", "_b", "_metres"]].itertuples(index=False) if k == 1}
+        known = {int(s): (int(a), int(b), m) for k, s, a, b, m in r[["_kind", "_segment_id", "_a", "_b", "_metres"]].itertuples(index=False) if k == 0}
+        chain, out, paths = Chain(road_ways(known, lengths)), [], {}
+        for e, g in c.groupby("epoch", sort=True):
+            travelled = float(g["travelled"].iloc[0])
+            g = g.dropna(subset=["segment_id"]).sort_values("segment_id")
+            epoch = Epoch(g["segment_id"].astype(int).tolist(), g["fraction"].to_numpy(float), g[["x", "y"]].to_numpy(float), g["m2"].to_numpy(float), g["score"].to_numpy(float))
+            mode, segment, p = chain.step(epoch, travelled)
+            out.append([int(c[key].iloc[0]), int(e), mode, segment, p])
+            if mode == "matched":
+                if len(chain.kept) == 1:
+                    start = len(out) - 1
+                    marks = []
+                marks.append(len(out) - 1)
+                paths[start] = (list(marks), chain.path())
+        smooth = {at: s for marks, segs in paths.values() for at, s in zip(marks[-len(segs) :], segs)}
+        rows = [(*x, smooth.get(i), chain.counts["suspensions"]) for i, x in enumerate(out)]
+        return pd.DataFrame(rows, columns=[x.strip().split(" ")[0] for x in schema.split(",")]).astype({"segment_id": "Int64", "path_segment": "Int64"})
+
+    # names of their own: both sides may come from one table
+    road = road.select(*(F.col(c).alias(f"_{c}") for c in road.columns)).withColumnRenamed(f"_{key}", "_key")
+    return candidates.groupBy(key).cogroup(road.groupBy("_key")).applyInPandas(run, schema)
+
+
 def match(epochs: list[tuple[list[int], np.ndarray]], transition) -> list[tuple[int | None, float]]:
     """(segment, confidence) per epoch of (segment ids, emission log scores).
 
