@@ -67,7 +67,7 @@ def test_sources(spark, tmp_path):
     with pytest.raises(logs.SchemaError):
         logs.guard_inputs(["gt_lat"], ["gt_lat"])
     out = str(tmp_path / "table")
-    logs.write_table(df.drop("bad_cells"), out, {"t": "s"}, {"meta": ["t"], "input": ["v"]})
+    logs.write_table(df.drop("bad_cells", "extra_cells"), out, {"t": "s"}, {"meta": ["t"], "input": ["v"]})
     back = spark.read.parquet(out)
     assert back.schema["t"].metadata == {"unit": "s", "role": "meta"} and logs.inputs_of(back).columns == ["v"]
     with pytest.raises(logs.SchemaError):

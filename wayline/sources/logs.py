@@ -14,6 +14,10 @@ from pyspark.sql import types as T
 from wayline.functions.text import file_meta
 
 
+#: Cells beyond the last column that are kept.
+EXTRA = 8
+
+
 class SchemaError(ValueError):
     """A header or a set of columns that is not the agreed one."""
 
@@ -39,13 +43,31 @@ def checked_header(found: list[str], expected: list[str]) -> None:
         raise SchemaError(f"unexpected columns: {wrong}")
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, encoding: str = "UTF-8") -> DataFrame:
-    """Typed rows of CSV files; a cell that does not parse is null and named in bad_cells."""
-    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
-    raw = spark.read.csv(path, schema=text, header=True, encoding=encoding, enforceSchema=False, mode="PERMISSIVE")
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, encoding: str = "UTF-8", accepted: list[tuple[str, ...]] | None = None) -> DataFrame:
+    """Typed rows of CSV files; a cell that does not parse is null and named in bad_cells, cells beyond the last column are kept in extra_cells.
+
+    accepted: for each column the header keys it may have; every file's header must
+    map, position by position, or the read is refused.
+    """
+    if accepted is not None:
+        _check_headers(spark, path, [(f.name, keys) for f, keys in zip(schema, accepted, strict=True)], encoding)
+    more = [f"_extra{k}" for k in range(EXTRA)]
+    text = T.StructType([T.StructField(n, T.StringType()) for n in [*(f.name for f in schema), *more]])
+    raw = spark.read.csv(path, schema=text, header=True, encoding=encoding, enforceSchema=True, mode="PERMISSIVE")
+    raw = raw.withColumn("extra_cells", F.filter(F.array(*more), lambda x: x.isNotNull()))
     typed = {f.name: F.expr(f"try_cast(trim(`{f.name}`) AS {f.dataType.simpleString()})") for f in schema}
     bad = F.filter(F.array(*(F.when(typed[f.name].isNull() & (F.trim(f.name) != ""), F.lit(f.name)) for f in schema)), lambda x: x.isNotNull())
-    return raw.select(*(c.alias(n, metadata=schema[n].metadata) for n, c in typed.items()), bad.alias("bad_cells"))
+    return raw.select(*(c.alias(n, metadata=schema[n].metadata) for n, c in typed.items()), bad.alias("bad_cells"), "extra_cells")
+
+
+def _check_headers(spark: SparkSession, path: str, agreed: list[tuple[str, tuple[str, ...]]], encoding: str) -> None:
+    """Raises unless the header of every file maps; distinct headers are few, and only they come to the driver."""
+    from wayline.sources import headers
+
+    heads = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.decode(F.substring(F.substring_index(F.col("content").cast("string"), "\n", 1).cast("binary"), 1, 1 << 16), "ISO-8859-1").alias("head"))
+    for (head,) in heads.distinct().collect():
+        raw = (head or "").rstrip("\r").encode("latin-1")
+        headers.mapped(headers.first_line(raw, "cp1252" if encoding.upper() == "UTF-8" else encoding), agreed)
 
 
 def parse_report(df: DataFrame) -> DataFrame:
