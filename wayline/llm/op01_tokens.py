@@ -217,10 +217,13 @@ def trees(docs: DataFrame, vocabulary: tuple[str, str], *more: str) -> DataFrame
 
     def make(b: pa.RecordBatch) -> dict:
         c = counter(*vocabulary)
-        built = [Tree(x.as_py() or "", c) for x in b.column(1)]
-        totals = list(zip(*(t.total for t in built), strict=True))
-        sums = {n: pa.array(v, pa.int64()) for n, v in zip(("n_chars", "n_tokens", "n_pretokens"), totals, strict=True)}
-        return {"doc_id": b.column(0), "text": pa.array([t.text for t in built], pa.string()), "tree": pa.array([t.packed() for t in built], pa.binary())} | sums | {n: b.column(n) for n in more}
+        packed, totals = [], []
+        for x in b.column(1):  # one tree at a time: a batch of them would fill the memory
+            tree = Tree(x.as_py() or "", c)
+            packed.append(tree.packed())
+            totals.append(tree.total)
+        sums = {n: pa.array(v, pa.int64()) for n, v in zip(("n_chars", "n_tokens", "n_pretokens"), zip(*totals, strict=True), strict=True)}
+        return {"doc_id": b.column(0), "text": b.column(1).fill_null(""), "tree": pa.array(packed, pa.binary())} | sums | {n: b.column(n) for n in more}
 
     return frames.by_batch(docs, make, StructType([*StructType.fromDDL(TREES), *(docs.schema[n] for n in more)]))
 
