@@ -5,22 +5,27 @@ The field scores whole candidate segments of up to MAX_TOKENS tokens for each
 kind by features of the span as a whole (digit groups, separators, Luhn, at and
 dot words, cue words before it, what touches its ends), and a dynamic program
 over tokens chooses boundaries and kinds jointly. A span of the best labelling
-is added if its posterior is at least CERTAIN and no base span overlaps it.
+is added if the posterior of an entity of its kind in that place is at least
+CERTAIN, that of its own bounds at least BOUNDS, and no base span overlaps it.
 
 The field is trained here, by maximum likelihood on SENTENCES generated
-sentences with known spans (fixed seed; no corpus rows). Only stretches of text
+sentences with known spans (fixed seed; no corpus rows); ``write_weights`` does
+so and keeps the weights in WEIGHTS beside this module, so that no session has to
+train (a test trains again and compares). Only stretches of text
 around digits, ``@`` and spelled-out ``at``/``dot`` can hold an entity, so the
 program runs there; elsewhere every token is outside. Every text is searched
 whole; patterns are linear in its length. Offsets are code points, end
 exclusive. Null text counts as empty and has no spans; repeated rows are
-searched one by one; an empty table returns no rows.
+searched one by one; other columns are not read; an empty table returns no rows.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import math
+import pathlib
 import random
 import re
 
@@ -33,7 +38,9 @@ from wayline.llm import frames
 KINDS = ("email", "ip", "card", "phone")
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
-MAX_TOKENS, CERTAIN, SENTENCES, REACH = 24, 0.9, 900, 48
+MAX_TOKENS, CERTAIN, BOUNDS, SENTENCES, REACH = 24, 0.9, 0.4, 1500, 48
+#: The trained weights, [kinds][features], as JSON.
+WEIGHTS = pathlib.Path(__file__).with_name("op03_weights.json")
 
 # ---------------------------------------------------------------- base patterns
 
@@ -113,16 +120,25 @@ _CUES = {
     "phone": ("phone", "tel", "telephone", "call", "mobile", "fax", "cell", "ring"),
 }
 _AT, _DOT = ("at",), ("dot",)
+#: Ends of host names that are words of their own in addresses.
+_ENDS = frozenset(("com", "org", "net", "edu", "gov", "io", "de", "uk", "fr", "es", "eu", "info"))
+_OPEN, _CLOSE = frozenset("([{"), frozenset(")]}")
 _NAMES = (
     "bias", "digits<7", "digits7", "digits8", "digits9", "digits10", "digits11", "digits12", "digits13-15", "digits16", "digits17-19", "digits>19",
     "luhn", "not luhn", "letters", "no letters", "@", "spelled at", "two ats", "dot in host", "spelled dot", "letters end", "four parts", "part>255",
     "groups 3-3-4", "groups 3-4", "groups 4x4", "starts +", "starts (", "separators none", "separators one kind", "separators mixed", "other signs", "other words",
-    "touches left", "touches right", "brackets balance", "tokens>14", "cue email", "cue ip", "cue card", "cue phone", "any cue", "runs of space", "digit before", "digit after", "groups like date", "long local",
+    "touches left", "touches right", "brackets balance", "tokens>14", "cue email", "cue ip", "cue card", "cue phone", "any cue", "runs of space", "digit before", "digit after", "groups like date", "long local", "bracketed at", "bracketed dot", "known end",
 )
 _AT_FEATURE = {n: k for k, n in enumerate(_NAMES)}
 N_FEATURES = len(_NAMES)
 
 
+def _in_brackets(toks: list[str], k: int) -> bool:
+    before = toks[k - 1] if k and not toks[k - 1].isspace() else toks[k - 2] if k > 1 else ""
+    after = toks[k + 1] if k + 1 < len(toks) and not toks[k + 1].isspace() else toks[k + 2] if k + 2 < len(toks) else ""
+    return before in _OPEN and after in _CLOSE and before != "" and after != ""
+
+
 class Lattice:
     """The tokens of a stretch of text and its candidate segments with their features."""
 
@@ -185,6 +201,11 @@ class Lattice:
             joined = [t for k, t in enumerate(toks) if t[0].isalnum() and k and toks[k - 1].isspace() and t.lower() not in spoken and not (k >= 2 and (toks[k - 2].lower() in spoken or toks[k - 2] in "@])}."))]
             if joined:
                 out.append(f["other words"])
+            for name, marks in (("bracketed at", _AT), ("bracketed dot", _DOT)):
+                if any(t.lower() in marks and _in_brackets(toks, k) for k, t in enumerate(toks)):
+                    out.append(f[name])
+            if toks[-1].lower() in _ENDS:
+                out.append(f["known end"])
         elif words:
             out.append(f["other words"])
         if 2 <= len(toks[-1]) <= 6 and toks[-1].isalpha():
@@ -300,7 +321,7 @@ def _sentence(r: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
 
     def email() -> str:
         local, host, end = r.choice((word(), word() + "." + word(), word() + number(2))), word(), r.choice(("com", "org", "net", "io", "de", "edu"))
-        return r.choice((f"{local}@{host}.{end}", f"{local}@{host}.{word()}.{end}", f"{local} at {host} dot {end}", f"{local} [at] {host} [dot] {end}", f"{local}(at){host}.{end}", f"{local} @ {host}.{end}", f"{local} (at) {host} (dot) {end}", f"{local}[at]{host}[dot]{end}"))
+        return r.choice((f"{local}@{host}.{end}", f"{local}@{host}.{word()}.{end}", f"{local} at {host} dot {end}", f"{local} at {host} dot {end}", f"{local} AT {host} DOT {end}", f"{local} [at] {host} [dot] {end}", f"{local} {{at}} {host} {{dot}} {end}", f"{local}(at){host}.{end}", f"{local} @ {host}.{end}", f"{local} (at) {host} (dot) {end}", f"{local}[at]{host}[dot]{end}"))
 
     def ip() -> str:
         return r.choice((".", ".", "[.]", " . ", "(.)")).join(octet() for _ in range(4))
@@ -374,6 +395,29 @@ def trained(sentences: int = SENTENCES, epochs: int = 24) -> np.ndarray:
     return w
 
 
+def _sure(lattice: Lattice, post: np.ndarray, k: int, kind: int) -> bool:
+    """Whether an entity of the kind is about there with CERTAIN, and these are its bounds with BOUNDS."""
+    if post[k, kind] < BOUNDS:
+        return False
+    i, j = lattice.segments[k]
+    bounds = np.array(lattice.segments)
+    return float(post[(bounds[:, 0] < j) & (bounds[:, 1] > i), kind].sum()) >= CERTAIN
+
+
+def write_weights() -> None:
+    """Trains the field and writes WEIGHTS."""
+    WEIGHTS.write_text(json.dumps([[round(float(x), 5) for x in row] for row in trained()]) + "\n")
+
+
+@functools.lru_cache(maxsize=1)
+def known_weights() -> np.ndarray:
+    """The weights that write_weights left, [kinds, features]."""
+    w = np.array(json.loads(WEIGHTS.read_text()))
+    if w.shape != (len(KINDS), N_FEATURES):
+        raise ValueError("the weights are of other features: run write_weights")
+    return w
+
+
 def added_spans(text: str, weights: np.ndarray, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans of the field that no base span overlaps."""
     out: list[tuple[int, int, int]] = []
@@ -405,7 +449,7 @@ def added_spans(text: str, weights: np.ndarray, base: list[tuple[int, int, int]]
         for k, _, kind in chosen:
             i, j = lattice.segments[k]
             s, e = lattice.tokens[i][1], lattice.tokens[j - 1][2]
-            if post[k, kind] >= CERTAIN and not any(x < e and s < y for x, y in taken):
+            if _sure(lattice, post, k, kind) and not any(x < e and s < y for x, y in taken):
                 out.append((kind, s, e))
     return out
 
@@ -423,7 +467,7 @@ def _named(spans: list[tuple[int, int, int]]) -> str:
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """One row of SCHEMA for each row of docs (doc_id, text)."""
-    weights = trained()
+    weights = known_weights()
 
     def make(b: pa.RecordBatch) -> dict:
         count, digest, spans = [], [], []
@@ -452,7 +496,7 @@ def masked(text: str, weights: np.ndarray) -> str:
 
 def mask_personal_data(docs: DataFrame) -> DataFrame:
     """docs with personal data masked in text, and n_chars, if there, counted anew; null stays null."""
-    weights, at = trained(), docs.columns.index("text")
+    weights, at = known_weights(), docs.columns.index("text")
     size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches):

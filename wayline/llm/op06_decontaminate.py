@@ -19,7 +19,8 @@ The index holds at most SHARD_BYTES of item text; a larger benchmark is indexed
 in shards, one pass over the documents each, with document frequencies of the
 whole benchmark. Null and empty texts match nothing; items without words are
 left out; repeated rows of a document or an item give the pair once; a null
-doc_id or item_id gives no pair.
+doc_id or item_id gives no pair; a very long text is one slice and is searched
+whole; of other columns none is read.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayline.llm import frames
-from wayline.llm.words import LOWER, Words, slices
+from wayline.llm.words import LOWER, Words, slices, window_hashes
 
 PASSAGE, STEP, BLOCK = 64, 32, 16
 K1, B, SHARE, LIGHT = 1.2, 0.75, 0.5, 0.6
@@ -202,10 +203,7 @@ class Index:
 def _shingles(h: np.ndarray) -> np.ndarray:
     if len(h) < SHINGLE:
         return h[:0]
-    out = np.zeros(len(h) - SHINGLE + 1, np.uint64)
-    for k in range(SHINGLE):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - SHINGLE + 1 + k]
-    return out
+    return window_hashes(h, np.arange(len(h) - SHINGLE + 1), SHINGLE)
 
 
 def _answer_start(text: str, n: int) -> int:
@@ -247,8 +245,8 @@ def _matches(index: Index, texts: pa.Array) -> Iterator[tuple[int, int, float, f
             yield base + text, index.ids[item], round(score, 6), round(q, 6), round(x, 6)
 
 
-def _indices(items: DataFrame) -> list[Index]:
-    """One index for each shard of the benchmark, with statistics of all of it."""
+def _indices(items: DataFrame) -> Iterator[Index]:
+    """One index for each shard of the benchmark, with statistics of all of it; one is held at a time."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     shards = max(1, math.ceil(size / SHARD_BYTES))
@@ -266,15 +264,13 @@ def _indices(items: DataFrame) -> list[Index]:
     counted = items.mapInArrow(count, "term long, words long")
     total, words = counted.where("words > 0").agg(F.count("*"), F.sum("words")).head()
     if not total:
-        return []
+        return
     frequency = counted.where("words = 0").groupBy("term").agg(F.count("*").alias("n"))
-    out = []
     for k in range(shards):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k)
         own = part.mapInArrow(count, "term long, words long").where("words = 0").select("term").distinct()
         df = {r[0] & ((1 << 64) - 1): r[1] for r in frequency.join(own, "term").collect()}
-        out.append(Index([(r[0], r[1]) for r in part.collect()], df, total, words / total))
-    return out
+        yield Index([(r[0], r[1]) for r in part.collect()], df, total, words / total)
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
