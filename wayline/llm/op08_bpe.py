@@ -208,9 +208,12 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encoded(docs: DataFrame, path: str, name: str = "token_ids") -> DataFrame:
-    """docs without its text, and the ids of the text as an array of integers."""
-    keep = [c for c in docs.columns if c not in ("text", name)]
+def encoded(docs: DataFrame, path: str, name: str = "token_ids", back: str = "decoded_sha256") -> DataFrame:
+    """docs without its text, the ids of the text as an array of integers, and the SHA-256 of what they decode to.
+
+    Null text counts as empty; columns of the two names are replaced.
+    """
+    keep = [c for c in docs.columns if c not in ("text", name, back)]
     at, places = docs.columns.index("text"), {k: docs.columns.index(k) for k in keep}
 
     def make(b: pa.RecordBatch) -> dict:
@@ -218,9 +221,10 @@ def encoded(docs: DataFrame, path: str, name: str = "token_ids") -> DataFrame:
         ids = [c.encode(t or "") for t in b.column(at).to_pylist()]
         cut = np.append(0, np.cumsum([len(x) // 4 for x in ids])).astype(np.int32)
         values = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
-        return {k: b.column(i) for k, i in places.items()} | {name: pa.ListArray.from_arrays(pa.array(cut), values)}
+        digests = pa.array([hashlib.sha256(c.decode(x)).hexdigest() for x in ids], pa.string())
+        return {k: b.column(i) for k, i in places.items()} | {name: pa.ListArray.from_arrays(pa.array(cut), values), back: digests}
 
-    schema = docs.select(*keep).schema.add(name, T.ArrayType(T.IntegerType()))
+    schema = docs.select(*keep).schema.add(name, T.ArrayType(T.IntegerType())).add(back, T.StringType())
 
     def run(batches):
         for b in batches:
