@@ -1,12 +1,16 @@
 """The training-corpus pipeline: five stages over the documents table.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the next one
-reads what it wrote. All but the last return the columns of documents. Stages
-import their operators as they run, so importing this module is cheap.
-
-Rows with null text fail the quality rules. Near-duplicates are documents whose
-sets of five-word shingles are similar at 0.8 or more; the least doc_id of each
-group stays.
+reads what it wrote. All but the last return the columns of documents, and any
+others that docs has, whatever their names (the last one replaces columns called
+token_ids or decoded_sha256).
+
+Rows with null or empty text fail the quality rules. Near-duplicates are
+documents whose sets of five-word shingles are similar at 0.8 or more; the least
+doc_id of each group stays. Rows that repeat a doc_id count as one document, and
+one of them stays; rows of a null doc_id are never near-duplicates and hold no
+benchmark item. Very long texts pass whole through every stage. An empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -40,7 +44,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents as token ids, without their text."""
+    """All documents as token ids, without their text, and the digest of what the ids decode to."""
     return op08_bpe.encoded(docs, op08_bpe.default_path())
 
 
