@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from wayline.operators.spatial import checkpoints
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -47,13 +49,11 @@ def filtered(df: DataFrame, keep: Callable[[pa.RecordBatch], pa.Array]) -> DataF
 def shared_dir(spark: SparkSession) -> str:
     """The folder for written intermediate tables: spark.checkpoint.dir where it is set.
 
-    In a session without that setting (tests, one machine) a folder below the warehouse is set once.
+    In a session without that setting (tests, one machine) a folder below the
+    warehouse is set once; a cluster with a local warehouse is refused.
     """
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
-        sc.setCheckpointDir(base)
-    return sc._jsc.sc().getCheckpointDir().get()
+    checkpoints(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 def written(df: DataFrame) -> DataFrame:
