@@ -189,3 +189,48 @@ def test_columns_are_exact_percentiles(spark):
     assert sorted(r.place for r in placed) == list(range(1, len(rows) + 1))
     known = [r.x for r in sorted(placed, key=lambda r: r.place) if r.x is not None]
     assert known == sorted(known)
+
+
+def test_dataset_chain(spark):
+    from wayline.operators import dataset, sync
+    from wayline.plans import q_sync
+
+    d = "/root/testdata/sf0.001"
+    phone, vehicle, alignment = q_sync.phone(spark, d), q_sync.vehicle(spark, d), q_sync.alignment(spark, d)
+    sessions = phone.select("session_id").distinct().selectExpr("session_id", "concat('d', session_id % 6) AS driver", "session_id AS drive_id", "1.0D + session_id % 3 AS hours")
+    made = dataset.prepared(phone, vehicle, alignment, sessions, 1.25, ["acc_x_mps2", "gyro_z_radps"], q_sync.TOLERANCE, q_sync.BREAK)
+    dataset.checked(made)
+    assert {r.channel for r in made["statistics"].collect()} == {"acc_x_mps2", "gyro_z_radps"}
+    assert set(made["synced"].columns) == {"row_idx", *sync.UNITS} and made["synced"].schema["gt_speed_mps"].metadata["unit"] == "m/s"
+    with pytest.raises(dataset.GateError):
+        dataset.checked(made | {"gate": made["gate"].withColumn("passes", F.lit(False))})
+
+
+def test_assembly_degrades_visibly():
+    import hashlib
+
+    from wayline.streaming.assembly import GnssOnly, assembled
+    from wayline.streaming.inertial import Fix
+    from wayline.streaming.navigator import Engine
+
+    report = {k: 1.0 for k in ("accel_white_noise_density", "gyro_white_noise_density", "accel_bias_sigma", "accel_bias_tau_s", "gyro_bias_sigma", "gyro_bias_tau_s")}
+    data = b"model"
+    right = hashlib.sha256(data).hexdigest()
+    a = assembled(report, {"speed": (data, right, lambda b: lambda rows: (1.0, 1.0)), "accel": (data, "0" * 64, None)}, [b"r"])
+    assert isinstance(a.engine, Engine) and list(a.engine.models) == ["speed"] and a.roads == b"r" and a.notes == ["model accel refused: not the one of its card"]
+    b = assembled(None, None, [b"r", b"s"])
+    assert isinstance(b.engine, GnssOnly) and b.roads is None and len(b.notes) == 2
+    assert isinstance(assembled({}).engine, GnssOnly)
+    b.engine.fix(Fix(1.0, 1.0, np.array([0.1, 0.5, 0.0]), 3.0))
+    assert b.engine.position() == (0.5, 0.1)
+    b.engine.time(99.0)
+    assert b.engine.position() is None
+
+
+def test_agreement_and_latency():
+    a = np.array([1.0, 2.0])
+    assert registry.agreement(a, a + 1e-6)["passes"] and not registry.agreement(a, a + 1e-3)["passes"]
+    m = registry.build("cnn1d", channels=3, hidden=4)
+    t = registry.latency(m, np.zeros((1, 3, 10)), runs=5, warmup=1)
+    assert 0 < t["p50_ms"] <= t["p90_ms"]
+    assert registry.smaller_batch(64, 16) == (32, False) and registry.smaller_batch(16, 16) == (16, True)

@@ -66,6 +66,30 @@ def conv(x: np.ndarray, w: np.ndarray, b: np.ndarray, left: int, right: int, dil
     return out
 
 
+def agreement(a: np.ndarray, b: np.ndarray, absolute: float = 1e-5, relative: float = 1e-4) -> dict[str, float | bool]:
+    """How far two runs of a model are apart, and whether all of it is within |a - b| <= absolute + relative |b|."""
+    gap = np.abs(a - b)
+    return {"most": float(gap.max(initial=0.0)), "mean": float(gap.mean()) if gap.size else 0.0, "passes": bool((gap <= absolute + relative * np.abs(b)).all())}
+
+
+def latency(model, window: np.ndarray, runs: int = 200, warmup: int = 20) -> dict[str, float]:
+    """Milliseconds of a model on one window: median and 90th percentile after a warm-up."""
+    import time
+
+    times = []
+    for k in range(warmup + runs):
+        began = time.perf_counter()
+        model(window)
+        if k >= warmup:
+            times.append((time.perf_counter() - began) * 1e3)
+    return {"p50_ms": float(np.percentile(times, 50)), "p90_ms": float(np.percentile(times, 90))}
+
+
+def smaller_batch(batch: int, least: int) -> tuple[int, bool]:
+    """After a lack of memory: half the batch, and whether to leave the accelerator because the least is reached."""
+    return (batch // 2, False) if batch // 2 >= least else (batch, True)
+
+
 class Network:
     """Weights by name, drawn small where none are given, and the head that ends every network."""
 

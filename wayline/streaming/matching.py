@@ -237,3 +237,28 @@ def match_trajectories(candidates: DataFrame, routes: DataFrame, key: str, beta:
         return pd.DataFrame([(int(c[key].iloc[0]), e, s, p) for (e, _), (s, p) in zip(groups, path)], columns=[key, "epoch", "segment_id", "confidence"])
 
     return candidates.groupBy(key).cogroup(routes.groupBy(key)).applyInPandas(run, schema)
+
+
+def reference_track(matched: DataFrame, least: float = 0.9) -> DataFrame:
+    """The epochs of a matched truth track that are sure enough to score against."""
+    return matched.where((matched["mode"] == "matched") & (matched["confidence"] >= least))
+
+
+def observations(navigated: DataFrame, key: str) -> DataFrame:
+    """What a matcher reads of a navigator's outputs, and no more: a row a second with place, sigma, course, speed and the way since the last.
+
+    Rows are those of ``navigate``; a new second starts a new epoch.
+    """
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from wayline.functions import geodesy as geo
+
+    by = [key, "arm"] if "arm" in navigated.columns else [key]
+    w = Window.partitionBy(*by).orderBy("t")
+    step = geo.local_delta(F.col("lat"), F.col("lon"), F.lag("lat").over(w), F.lag("lon").over(w), F.col("height"))
+    rows = navigated.withColumn("_step", F.coalesce(F.hypot(step.e, step.n), F.lit(0.0))).withColumn("epoch", F.floor("t"))
+    rows = rows.withColumn("_way", F.sum("_step").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "epoch").orderBy("t"))).where("_n = 1")
+    travelled = F.col("_way") - F.lag("_way").over(Window.partitionBy(*by).orderBy("epoch"))
+    return first.select(*by, "epoch", "t", "lat", "lon", "sigma", F.atan2("v_north", "v_east").alias("heading"), F.hypot("v_east", "v_north").alias("speed"), travelled.alias("travelled"))
