@@ -80,19 +80,23 @@ def counter(ranks_path: str, pattern: str) -> Counter:
 class Tree:
     """A document as a segment tree of pre-tokens.
 
-    A leaf is a list of (length, tokens) pairs; ``chars``, ``tokens`` and
-    ``pieces`` are sums over an implicit binary tree of a power of two of leaves.
+    A leaf holds rows (length, tokens): a view of one array for the whole document,
+    or a list of pairs once an edit has touched it. ``sums`` holds code points, tokens
+    and pre-tokens over an implicit binary tree of a power of two of leaves.
     """
 
     def __init__(self, text: str, counter: Counter):
         self.text, self.counter, self.encoded = text, counter, 0
-        self._build([(len(p), counter.count(p)) for p in counter.split(text)])
+        parts = counter.split(text)
+        pieces = np.empty((len(parts), 2), np.uint32)
+        pieces[:, 0] = np.fromiter(map(len, parts), np.uint32, len(parts))
+        pieces[:, 1] = np.fromiter(map(counter.count, parts), np.uint32, len(parts))
+        self._build(pieces)
 
     def packed(self) -> bytes:
         """The sizes of the leaves, and the lengths and token counts of their pre-tokens."""
-        pieces = np.array([p for x in self.leaves for p in x], np.uint32).reshape(-1, 2)
         sizes = np.array([len(x) for x in self.leaves], np.uint32)
-        return np.uint32(len(sizes)).tobytes() + sizes.tobytes() + pieces.tobytes()
+        return b"".join([np.uint32(len(sizes)).tobytes(), sizes.tobytes(), *(x.tobytes() if isinstance(x, np.ndarray) else np.array(x, np.uint32).tobytes() for x in self.leaves)])
 
     @staticmethod
     def loaded(text: str, data: bytes, counter: Counter) -> Tree:
@@ -100,22 +104,35 @@ class Tree:
         tree = object.__new__(Tree)
         tree.text, tree.counter, tree.encoded = text, counter, 0
         n = int(np.frombuffer(data, np.uint32, 1)[0])
-        cut = np.append(0, np.cumsum(np.frombuffer(data, np.uint32, n, 4), dtype=np.int64)).tolist()
-        pieces = list(map(tuple, np.frombuffer(data, np.uint32, offset=4 + 4 * n).reshape(-1, 2).tolist()))
-        tree._grow([pieces[a:b] for a, b in zip(cut, cut[1:])])
+        cut = np.append(0, np.cumsum(np.frombuffer(data, np.uint32, n, 4), dtype=np.int64))
+        tree._grow(np.frombuffer(data, np.uint32, offset=4 + 4 * n).reshape(-1, 2), cut)
         return tree
 
-    def _build(self, pieces: list[tuple[int, int]]) -> None:
-        self._grow([pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)] or [[]])
+    def _build(self, pieces: np.ndarray) -> None:
+        self._grow(pieces, np.append(np.arange(0, max(1, len(pieces)), LEAF), len(pieces)))
+
+    def _grow(self, pieces: np.ndarray, cut: np.ndarray) -> None:
+        """Leaves of the rows cut[k]:cut[k + 1] of pieces, and all sums, level by level."""
+        count = len(cut) - 1
+        self.width = 1 << (count - 1).bit_length()
+        at = cut.tolist()
+        self.leaves = [pieces[a:b] for a, b in zip(at, at[1:])] + [[] for _ in range(self.width - count)]
+        upto = np.zeros((len(pieces) + 1, 2), np.int64)
+        np.cumsum(pieces, axis=0, out=upto[1:])
+        sums = np.zeros((2 * self.width, 3), np.int64)
+        sums[self.width : self.width + count, :2] = upto[cut[1:]] - upto[cut[:-1]]
+        sums[self.width : self.width + count, 2] = np.diff(cut)
+        k = self.width
+        while k > 1:
+            sums[k // 2 : k] = sums[k : 2 * k : 2] + sums[k + 1 : 2 * k : 2]
+            k //= 2
+        self.sums = list(map(tuple, sums.tolist()))
 
-    def _grow(self, leaves: list[list[tuple[int, int]]]) -> None:
-        self.width = 1 << (len(leaves) - 1).bit_length()
-        self.leaves = leaves + [[] for _ in range(self.width - len(leaves))]
-        self.sums = [(0, 0, 0)] * (2 * self.width)
-        for k, leaf in enumerate(self.leaves):
-            self.sums[self.width + k] = _sum(leaf)
-        for k in range(self.width - 1, 0, -1):
-            self.sums[k] = _add(self.sums[2 * k], self.sums[2 * k + 1])
+    def _leaf(self, k: int) -> list[tuple[int, int]]:
+        """Leaf k as a list, which it is from now on."""
+        if isinstance(self.leaves[k], np.ndarray):
+            self.leaves[k] = list(map(tuple, self.leaves[k].tolist()))
+        return self.leaves[k]
 
     @property
     def total(self) -> tuple[int, int, int]:
@@ -149,9 +166,9 @@ class Tree:
         while leaf and at > max(0, start - LOOKAHEAD - 1):
             leaf -= 1
             at -= self.sums[self.width + leaf][0]
-        i = 0
-        while i < len(self.leaves[leaf]) and at + self.leaves[leaf][i][0] <= start - LOOKAHEAD:
-            at += self.leaves[leaf][i][0]
+        i, rows = 0, self._leaf(leaf)
+        while i < len(rows) and at + rows[i][0] <= start - LOOKAHEAD:
+            at += rows[i][0]
             i += 1
         first, offset, begin = leaf, i, at
         delta = len(new) - (end - start)
@@ -162,11 +179,12 @@ class Tree:
         place = begin
         while True:
             while old + delta < place or old < end:  # pass the old pre-tokens that the new ones have covered
-                while i >= len(self.leaves[leaf]) and leaf + 1 < self.width:
+                while i >= len(rows) and leaf + 1 < self.width:
                     leaf, i = leaf + 1, 0
-                if i >= len(self.leaves[leaf]):
+                    rows = self._leaf(leaf)
+                if i >= len(rows):
                     break
-                old += self.leaves[leaf][i][0]
+                old += rows[i][0]
                 i += 1
             if old >= end and old + delta == place:
                 break
@@ -176,19 +194,19 @@ class Tree:
             fresh.append((m.end() - place, self.counter.count(m[0])))
             place = m.end()
         self.encoded += len(fresh)
-        rest = self.leaves[leaf][i:]
+        rest = rows[i:]
         if leaf == first:
-            self.leaves[first] = self.leaves[first][:offset] + fresh + rest
+            self.leaves[first] = rows[:offset] + fresh + rest
         else:
-            self.leaves[first] = self.leaves[first][:offset] + fresh
+            self.leaves[first] = self._leaf(first)[:offset] + fresh
             for k in range(first + 1, leaf):
-                if self.leaves[k]:
+                if len(self.leaves[k]):
                     self.leaves[k] = []
                     self._update(k)
             self.leaves[leaf] = rest
             self._update(leaf)
         if len(self.leaves[first]) > 8 * LEAF:  # a large insertion: level the leaves again
-            self._build([p for x in self.leaves for p in x])
+            self._build(np.concatenate([np.asarray(x, np.uint32).reshape(-1, 2) for x in self.leaves]))
         else:
             self._update(first)
 
