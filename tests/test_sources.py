@@ -234,3 +234,40 @@ def test_agreement_and_latency():
     t = registry.latency(m, np.zeros((1, 3, 10)), runs=5, warmup=1)
     assert 0 < t["p50_ms"] <= t["p90_ms"]
     assert registry.smaller_batch(64, 16) == (32, False) and registry.smaller_batch(16, 16) == (16, True)
+
+
+def test_files_by_session_and_over_time(spark, tmp_path):
+    for name in ("S-V1a.csv", "V-V1a.csv", "notes.txt"):
+        (tmp_path / name).write_text("a,b\n1,2\n")
+    first = logs.discover(spark, str(tmp_path)).collect()
+    df = spark.createDataFrame(first)
+    known, aside = logs.grouped(df)
+    (row,) = known.collect()
+    assert row.session == "V1a" and len(row.S) == len(row.V) == 1 and aside.count() == 1
+    (tmp_path / "S-V1a.csv").write_text("a,b\n1,2\n3,4\n")
+    (tmp_path / "notes.txt").unlink()
+    (tmp_path / "V-V2.csv").write_text("a\n")
+    changes = {r.path.split("/")[-1]: r.what for r in logs.changed_files(df, logs.discover(spark, str(tmp_path))).collect()}
+    assert changes == {"S-V1a.csv": "changed", "notes.txt": "gone", "V-V2.csv": "new"}
+
+
+def test_turns_and_augmentation(spark):
+    from wayline.functions import vectorised
+
+    r = np.random.default_rng(1)
+    for kind in vectorised.TURNS:
+        m = vectorised.random_turn(r, kind, 0.2)
+        assert np.allclose(m @ m.T, np.eye(3)) and np.isclose(np.linalg.det(m), 1)
+        if kind in ("none", "yaw"):
+            assert np.allclose(m[2], [0, 0, 1])
+        if kind == "yaw_tilt":
+            assert m[2, 2] >= np.cos(0.2) - 1e-9
+    df = spark.createDataFrame([(k, [float(k), 2.0, 3.0] * 8) for k in (1, 1, 2)], "k long, v array<double>")
+    a, b, c = (np.array(x.v).reshape(-1, 3) for x in vectorised.augmented(df, "v", 3, "full", noise=0.1, bias=0.5, jitter=2).orderBy("k").collect())
+    assert np.array_equal(a, b) and not np.allclose(a[:, 1:], c[:, 1:]) and a.std(axis=0).max() < 0.3
+    with pytest.raises(ValueError):
+        vectorised.augmented(df, "v", 3, "up")
+    with pytest.raises(ValueError):
+        from wayline.operators import splits
+
+        splits.only(spark.range(3).selectExpr("id AS session_id"), spark.range(2).selectExpr("id AS session_id"))

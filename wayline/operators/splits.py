@@ -45,6 +45,14 @@ def assign(sessions: DataFrame, share: float = 0.2, within: tuple[float, float]
     return sessions.join(chosen, "drive_id", "left").withColumn("split", split).drop("in_validation")
 
 
+def only(df: DataFrame, train: DataFrame, key: str = "session_id") -> DataFrame:
+    """df, if all its sessions are in train (key); else it raises and names some of those that are not."""
+    out = [r[0] for r in df.select(key).distinct().join(train.select(key), key, "left_anti").orderBy(key).limit(10).collect()]
+    if out:
+        raise ValueError(f"not in training: {out}")
+    return df
+
+
 def leaks(assigned: DataFrame) -> DataFrame:
     """Drives that lie in more than one split, and test drivers met elsewhere."""
     spans = assigned.groupBy("drive_id").agg(F.countDistinct("split").alias("n")).where("n > 1").select(F.lit("drive in several splits").alias("kind"), F.col("drive_id").cast("string").alias("name"))

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayline.functions import features
 from wayline.functions import geodesy as geo
 from wayline.functions import quaternion as q
 from wayline.functions import text
@@ -135,6 +136,7 @@ _geo("geodetic_to_ecef", f"round({_X}, 4) AS x, round({_Y}, 4) AS y, round({_Z},
 _geo("geodetic_ecef_roundtrip", "round(lat, 9) AS lat, round(lon, 9) AS lon, round(h, 3) AS h", lambda lat, lon, h: _struct(geo.from_ecef(geo.to_ecef(lat, lon, h)), lat=9, lon=9, h=3))
 _geo("enu_roundtrip", "round(lat + 1e-4, 9) AS lat, round(lon - 2e-4, 9) AS lon, round(h + 5, 3) AS h", lambda lat, lon, h: _struct(geo.from_enu(_step(lat, lon, h), lat, lon, h), lat=9, lon=9, h=3))
 _geo("enu_project", f"round(-sin(lon)*{_DX[0]} + cos(lon)*{_DX[1]}, 4) AS east, round(-sin(lat)*cos(lon)*{_DX[0]} - sin(lat)*sin(lon)*{_DX[1]} + cos(lat)*{_DX[2]}, 4) AS north, round(-(cos(lat)*cos(lon)*{_DX[0]} + cos(lat)*sin(lon)*{_DX[1]} + sin(lat)*{_DX[2]}), 4) AS down", lambda lat, lon, h: _c(east=(_step(lat, lon, h).x, 4), north=(_step(lat, lon, h).y, 4), down=(geo.enu_ned(_step(lat, lon, h)).z, 4)))
+_geo("geodetic_to_ned", f"round(-sin(lat)*cos(lon)*{_DX[0]} - sin(lat)*sin(lon)*{_DX[1]} + cos(lat)*{_DX[2]}, 4) AS x, round(-sin(lon)*{_DX[0]} + cos(lon)*{_DX[1]}, 4) AS y, round(-(cos(lat)*cos(lon)*{_DX[0]} + cos(lat)*sin(lon)*{_DX[1]} + sin(lat)*{_DX[2]}), 4) AS z", lambda lat, lon, h: _struct(geo.enu_ned(_step(lat, lon, h)), x=4, y=4, z=4))
 _geo("normal_gravity", f"round({geo.GRAVITY_EQUATOR!r} * (1 + {geo.GRAVITY_K!r} * sin(lat)*sin(lat)) / sqrt(1 - {_E2!r} * sin(lat)*sin(lat)) - {geo.FREE_AIR!r} * h, 9) AS gravity", lambda lat, lon, h: _c(gravity=(geo.gravity(lat, h), 9)))
 _geo("frame_rates", f"round({geo.EARTH_RATE!r} * cos(lat) * 1e6, 6) AS earth_n, round({geo.EARTH_RATE!r} * sin(lat) * 1e6, 6) AS earth_u, round(-20 / ({_M} + h) * 1e6, 6) AS ride_e, round(10 / ({_N} + h) * 1e6, 6) AS ride_n, round(10 * tan(lat) / ({_N} + h) * 1e6, 6) AS ride_u", lambda lat, lon, h: _c(earth_n=(geo.earth_rate_enu(lat).y * 1e6, 6), earth_u=(geo.earth_rate_enu(lat).z * 1e6, 6), ride_e=(_ride(lat, h).x * 1e6, 6), ride_n=(_ride(lat, h).y * 1e6, 6), ride_u=(_ride(lat, h).z * 1e6, 6)))
 _geo("along_cross", f"round(2e-5 * ({_N} + h) * cos(lat), 4) AS east, round(1e-5 * ({_M} + h), 4) AS north, round(2e-5 * ({_N} + h) * cos(lat) * sin(0.5) + 1e-5 * ({_M} + h) * cos(0.5), 4) AS along, round(2e-5 * ({_N} + h) * cos(lat) * cos(0.5) - 1e-5 * ({_M} + h) * sin(0.5), 4) AS across", lambda lat, lon, h: [*_c(east=(_near(lat, lon, h).e, 4), north=(_near(lat, lon, h).n, 4)), *_struct(geo.along_cross(_near(lat, lon, h).e, _near(lat, lon, h).n, F.lit(0.5)), along=4, across=4)])
@@ -245,12 +247,15 @@ def policy_lookup(spark, d):
     return table(spark, d, "events").select("event_id", n.alias("noise"), n.isNotNull().alias("use_gnss"), (F.col("event_type") != "purchase").alias("use_ai"))
 
 
-@query("features13", f"WITH {_Q}, f AS (SELECT vec_id, vx, vy, vz, {_VN} AS n, ax AS gx, ay AS gy, az AS gz, {_S} AS gn, bw FROM u) SELECT vec_id, round(vx / {geo.G0}, 6) AS f0, round(gx / {geo.G0}, 6) AS f3, round(bw / 0.5, 6) AS f8, round(n / {geo.G0} - 1, 6) AS f9, round((vx*gx+vy*gy+vz*gz)/gn/{geo.G0} - 1, 6) AS f10, round(sqrt(pow(vy*gz-vz*gy,2)+pow(vz*gx-vx*gz,2)+pow(vx*gy-vy*gx,2))/gn/{geo.G0}, 6) AS f11, round(bw*gz/gn, 6) AS f12 FROM f")
+_F13 = [f"v{n} / {geo.G0}" for n in "xyz"] + [f"g{n} / {geo.G0}" for n in "xyz"] + [f"w{n} / 0.5" for n in "xyz"] + [f"n / {geo.G0} - 1", f"(vx*gx+vy*gy+vz*gz)/gn/{geo.G0} - 1", f"sqrt(pow(vy*gz-vz*gy,2)+pow(vz*gx-vx*gz,2)+pow(vx*gy-vy*gx,2))/gn/{geo.G0}", "(wx*gx+wy*gy+wz*gz)/gn/0.5"]
+
+
+@query("features13", f"WITH {_Q}, f AS (SELECT vec_id, vx, vy, vz, {_VN} AS n, ax AS gx, ay AS gy, az AS gz, {_S} AS gn, bx AS wx, by_ AS wy, bz AS wz FROM u) SELECT vec_id, {', '.join(f'round({e}, 6) AS f{i}' for i, e in enumerate(_F13))} FROM f")
 def features13(spark, d):
-    v, g, rate = F.col("v"), q.vec(F.col("a").x, F.col("a").y, F.col("a").z), F.col("b").w
-    n = q.vec_norm(g)
-    r = lambda c, name: F.round(c, 6).alias(name)
-    return _vectors(spark, d).select("vec_id", r(v.x / geo.G0, "f0"), r(g.x / geo.G0, "f3"), r(rate / 0.5, "f8"), r(q.vec_norm(v) / geo.G0 - 1, "f9"), r(q.dot(v, g) / n / geo.G0 - 1, "f10"), r(q.vec_norm(q.cross(v, g)) / n / geo.G0, "f11"), r(rate * g.z / n, "f12"))
+    """All thirteen channels of a model's input: force, gravity and turn rate by their scales, and four that no turn about the vertical changes."""
+    v, g, w = F.col("v"), F.col("a"), F.col("b")
+    out = features.channels(v, q.vec(g.x, g.y, g.z), q.vec(w.x, w.y, w.z), geo.G0, 0.5)
+    return _vectors(spark, d).select("vec_id", out.alias("f")).select("vec_id", *(F.round(F.col("f")[i], 6).alias(f"f{i}") for i in range(13)))
 
 
 @query("nll_huber", "SELECT event_id, round(0.5 * (e * e * exp(-lv) + lv), 8) AS nll, round(CASE WHEN abs(e) <= 1 THEN 0.5 * e * e ELSE abs(e) - 0.5 END, 8) AS huber, round(exp(lv), 8) AS variance FROM (SELECT event_id, (value - 50) / 10 AS e, greatest(-8, least(6, (k - 50) / 5.0)) AS lv FROM (SELECT event_id, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events))")

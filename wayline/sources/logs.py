@@ -28,6 +28,21 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
     return f.select("path", "length", F.col("modificationTime").alias("modified"), file_meta(F.col("path")).alias("m")).select("path", "length", "modified", "m.kind", "m.session")
 
 
+def grouped(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Discovered files by session: (session, the paths of each kind), and those whose names say nothing, which are set aside."""
+    known = files.where("kind IS NOT NULL AND session IS NOT NULL")
+    paths = lambda kind: F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.col("path")))).alias(kind)
+    return known.groupBy("session").agg(paths("S"), paths("V")), files.where("kind IS NULL OR session IS NULL").select("path", "length")
+
+
+def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Files (path, length, modified) that are gone, new, or not of the length and time they had."""
+    old = before.select("path", F.col("length").alias("l0"), F.col("modified").alias("m0"))
+    both = after.select("path", "length", "modified").join(old, "path", "full")
+    what = F.when(F.col("length").isNull(), "gone").when(F.col("l0").isNull(), "new").when((F.col("length") != F.col("l0")) | (F.col("modified") != F.col("m0")), "changed")
+    return both.select("path", what.alias("what")).where("what IS NOT NULL")
+
+
 def digests(spark: SparkSession, root: str) -> DataFrame:
     """path and SHA-256 of the bytes of each file."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
