@@ -171,4 +171,29 @@ def keep_good(docs: DataFrame, weight: np.ndarray, threshold: float = THRESHOLD)
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = frames.table(spark, sf_dir, "documents")
-    return quality_rules(docs, weights(docs, target_ids(frames.table(spark, sf_dir, "labels"))))
+    out = quality_rules(docs, weights(docs, target_ids(frames.table(spark, sf_dir, "labels"))))
+    return out.withColumn("score", F.round("score", 6))
+
+
+#: The whole of it for the parameters above: base counts, buckets of 4-byte strings, their log ratios, scores and verdicts.
+ORACLE = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+words AS (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM docs),
+word AS (SELECT r, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM words),
+win AS (SELECT r, p, CASE WHEN count(*) OVER w = 8 THEN string_agg(word, ' ') OVER w END AS s FROM word WINDOW w AS (PARTITION BY r ORDER BY p ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
+again AS (SELECT r, p, s IS NOT NULL AND count(*) OVER (PARTITION BY r, s) > 1 AS twice FROM win),
+inside AS (SELECT r, bool_or(twice) OVER (PARTITION BY r ORDER BY p ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS hit FROM again),
+repeats AS (SELECT r, count(CASE WHEN hit THEN 1 END) AS n FROM inside GROUP BY r),
+lines AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM docs) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+bytes AS (SELECT r, doc_id, unnest(range(1, len(l) + 1)) AS p, unnest(l) AS x FROM (SELECT r, doc_id, regexp_extract_all(hex(encode(t)), '..') AS l FROM docs)),
+gram AS (SELECT r, doc_id, lead(x, 3) OVER w || lead(x, 2) OVER w || lead(x) OVER w || x AS g FROM bytes WINDOW w AS (PARTITION BY r ORDER BY p)),
+bucket AS (SELECT r, doc_id, CAST((CAST(CAST('0x' || g AS UBIGINT) AS HUGEINT) * 11400714819323198485::HUGEINT) % 18446744073709551616::HUGEINT // 562949953421312::HUGEINT AS BIGINT) AS b FROM gram WHERE g IS NOT NULL),
+good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL),
+counts AS (SELECT b, count(*) AS n, count(g.doc_id) AS g FROM bucket LEFT JOIN good g ON g.doc_id = bucket.doc_id GROUP BY b),
+sums AS (SELECT sum(n) AS n, sum(g) AS g FROM counts),
+weight AS (SELECT b, CASE WHEN sums.g = 0 THEN 0 ELSE round_even(ln((counts.g / ((counts.n + 1) / (sums.n + 32768)) + 32768) / (sums.g + 32768)) * 1048576, 0) END AS w FROM counts, sums),
+score AS (SELECT r, sum(w) / count(*) / 1048576 AS s FROM bucket JOIN weight ON weight.b = bucket.b GROUP BY r),
+base AS (SELECT d.r, d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words, coalesce(s, 0) AS score
+  FROM docs d JOIN words ON words.r = d.r LEFT JOIN lines ON lines.r = d.r LEFT JOIN repeats ON repeats.r = d.r LEFT JOIN score ON score.r = d.r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, round(score, 6) AS score, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND score >= -0.3 AS kept FROM base
+"""
