@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,3 +178,31 @@ def test_vectorised(spark):
     assert np.isclose(np.hypot(*turned[:2]), 5) and turned[2] == 1.0 and turned != [3.0, 4.0, 1.0]
     with pytest.raises(ValueError):
         vectorised.predicted(w, "v", b"x", "0" * 64)
+
+
+def test_event_loop(spark, tmp_path):
+    """Tagged events of a drive: the place of the navigator, a switched outage, refused events, and the same rows from a stream."""
+    from wayline.streaming import events
+
+    d = synthetic.drive(4, 40, noise=0.02, dropout=0.0)
+    rows = events.tagged(d)
+    extra = pd.DataFrame([(4, 20.05, "OUTAGE", *[None] * 8, True), (4, 30.05, "OUTAGE", *[None] * 8, False), (4, 5.05, "ACCEL", 1e9, 0.0, 0.0, *[None] * 6), (4, 6.05, "RADAR", *[None] * 9), (4, 7.05, "FIX", 0.1, 0.1, 0.0, 99.0, 3.0, None, None, "gps", None), (4, 8.05, "FIX", 0.1, 0.1, 0.0, 8.0, 3.0, None, None, "network", None)], columns=["session_id", *events.COLUMNS])
+    rows = pd.concat([rows, extra]).sort_values("t", kind="stable").reset_index(drop=True)
+    rows["seq"] = np.arange(len(rows))
+    loop = events.EventLoop(mount=np.eye(3), providers=("gps",))
+    out = list(events.looped(loop, rows[events.COLUMNS].itertuples(index=False, name=None)))
+    last = out[-1]
+    assert dict(loop.refused) == {"out of scale": 1, "unknown tag": 1, "fix before its time": 1, "provider": 1}
+    assert last.n_withheld == 10 and last.provider == "gps" and last.n_samples > 390
+    assert all(b.t - a.t >= events.SNAPSHOT_S - 1e-9 for a, b in zip(out, out[1:]))
+    k = round(last.t * synthetic.RATE)
+    assert np.linalg.norm(earth.apart(np.array([last.lon, last.lat, 0.0]), np.array([d.true_lon[k], d.true_lat[k], 0.0]))[:2]) < 5
+    assert any(o.sigma > 2 * out[80].sigma for o in out[140:152])
+    df = spark.createDataFrame(rows.astype(object).where(rows.notna(), None), f"{events.EVENT_SCHEMA}, seq long")
+    for part in range(3):
+        df.where(f"t >= {part * 14} AND t < {part * 14 + 14}").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    stream = events.run_events_stream(events.channel(events.live(spark, str(tmp_path / "in"), 1), "ACCEL", "GYRO", "GRAVITY", "FIX", "OUTAGE"), mount=np.eye(3))
+    q = stream.writeStream.format("memory").queryName("snapshots").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    batch = events.run_events(events.channel(df, "ACCEL", "GYRO", "GRAVITY", "FIX", "OUTAGE"), mount=np.eye(3))
+    assert [tuple(r) for r in sorted(spark.table("snapshots").collect())] == [tuple(r) for r in sorted(batch.collect())]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,13 +90,13 @@ def outage_now_and_then(spark, d):
 _ARMS = {"straight": Options(speed=False, straight_needs_speed=False), "plain": Options(speed=False, straight=False, states=False, recovery=False)}
 
 
-def replayed(df: DataFrame, schedule: DataFrame, arms: dict[str, Options], seed: int = 0) -> DataFrame:
+def replayed(df: DataFrame, schedule: DataFrame, arms: dict[str, Options], seed: int = 0, mount: np.ndarray | None = None) -> DataFrame:
     """Every session under its schedule through every arm: the rows of navigate. Sensors are untouched; fixes come through the schedule."""
     fixes = df.where("fix_t IS NOT NULL").select("session_id", F.col("t").alias("received"), F.col("fix_t").alias("t"), F.monotonically_increasing_id().alias("any"), F.col("fix_lat").alias("lat"), F.col("fix_lon").alias("lon"), F.col("fix_h").alias("h"), F.col("fix_acc").alias("accuracy"), "fix_speed", "fix_course")
     fixes = fixes.withColumn("fix_id", F.round(F.col("received") * 1000).cast("long")).drop("any")
     after = o.applied(fixes, schedule, seed).where("NOT withheld").select("session_id", F.col("received").alias("t"), F.col("t").alias("fix_t"), F.col("lat").alias("fix_lat"), F.col("lon").alias("fix_lon"), F.col("h").alias("fix_h"), F.col("accuracy").alias("fix_acc"), "fix_speed", "fix_course")
     bare = df.select("session_id", *(c for c in COLUMNS if not c.startswith("fix")))
-    return navigate(bare.join(after, ["session_id", "t"], "left"), "session_id", arms=arms)
+    return navigate(bare.join(after, ["session_id", "t"], "left"), "session_id", arms=arms, mount=mount)
 
 
 def digest(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
@@ -110,7 +111,7 @@ def replay_battery(spark, d):
     """Two arms over drives with an outage of 15 seconds: replays are equal bit for bit, errors grow in the outage and shrink after it."""
     df = synthetic.fleet(spark, 2, 45, 0.05, 0.0)
     schedule = spark.createDataFrame([(i, 0, "full", 18.0, 33.0) for i in range(2)], o.SCHEMA)
-    out = [replayed(df, schedule, _ARMS) for _ in range(2)]
+    out = [replayed(df, schedule, _ARMS, mount=np.eye(3)) for _ in range(2)]
     a, b = (digest(x, ["session_id", "arm"], ["t"], x.columns).withColumnRenamed("digest", f"d{k}").drop("n") for k, x in enumerate(out))
     t = F.col("t")
     g = out[0].groupBy("session_id", "arm").agg(F.max(F.when((t > 15) & (t < 18), F.col("sigma"))).alias("before"), F.max(F.when((t > 31) & (t < 33), F.col("sigma"))).alias("inside"), F.min(F.when(t > 40, F.col("sigma"))).alias("after"))

@@ -322,8 +322,8 @@ def stepped(engine: Engine, rows: Iterator[tuple]) -> Iterator[Output]:
             yield out
 
 
-def navigate(df: DataFrame, key: str, noise: Noise | None = None, arms: dict[str, Options] | None = None) -> DataFrame:
-    """key, arm and OUTPUT_SCHEMA for each session of df (key, COLUMNS) and each arm of options.
+def navigate(df: DataFrame, key: str, noise: Noise | None = None, arms: dict[str, Options] | None = None, mount: np.ndarray | None = None) -> DataFrame:
+    """key, arm and OUTPUT_SCHEMA for each session of df (key, COLUMNS) and each arm of options; mount: a known one of all sessions.
 
     With several arms a session is one task an arm: df carries a column arm, as ``with_arms`` makes it.
     """
@@ -332,7 +332,7 @@ def navigate(df: DataFrame, key: str, noise: Noise | None = None, arms: dict[str
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         name = pdf["arm"].iloc[0]
         pdf = pdf.sort_values("t", kind="stable")
-        out = pd.DataFrame(list(stepped(Engine(noise, arms[name]), pdf[COLUMNS].itertuples(index=False, name=None))), columns=Output._fields)
+        out = pd.DataFrame(list(stepped(Engine(noise, arms[name], mount), pdf[COLUMNS].itertuples(index=False, name=None))), columns=Output._fields)
         out.insert(0, "arm", name)
         out.insert(0, key, pdf[key].iloc[0])
         return out
