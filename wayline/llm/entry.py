@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op5_substring_dedup": op05_substring.ORACLE,
+    "op6_decontamination": op06_decontaminate.ORACLE,
     "op7_minhash_near_dedup": op07_minhash.ORACLE,
     "op9_url_filters": op09_urls.ORACLE,
     "op10_quality_rules": op10_quality.ORACLE,

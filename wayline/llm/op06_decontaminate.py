@@ -309,3 +309,43 @@ def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return contaminated(frames.table(spark, sf_dir, "documents"), frames.table(spark, sf_dir, "benchmark"))
+
+
+#: The whole of it without an index: every passage against every item (K1 1.2, B 0.75, passages of 64 words each 32).
+_SQL = r"""
+WITH d0 AS (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+docs AS (SELECT row_number() OVER () AS r, doc_id, {words_text} AS ws FROM d0),
+i0 AS (SELECT DISTINCT CAST(item_id AS BIGINT) AS item_id, text FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+items AS (SELECT row_number() OVER () AS i, item_id, text, {words_text} AS ws FROM i0),
+known AS (SELECT *, CAST(len(ws) AS BIGINT) AS n FROM items WHERE len(ws) > 0),
+total AS (SELECT count(*) AS m, sum(n) / count(*) AS average FROM known),
+tf AS (SELECT i, n, term, count(*) AS tf FROM (SELECT i, n, unnest(ws) AS term FROM known) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+impact AS (SELECT tf.i, tf.n, tf.term, ln(1 + (m - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * tf.n / average)) AS x FROM tf JOIN df ON df.term = tf.term, total),
+least AS (SELECT i, 0.5 * sum(x) * least(1.0, 0.75 * 64 / any_value(n)) AS least FROM impact GROUP BY i),
+rel AS (SELECT impact.i, term, x / least AS x FROM impact JOIN least ON least.i = impact.i),
+pass AS (SELECT r, doc_id, len(ws) AS n, unnest(range(0, len(ws), 32)) AS a, ws FROM docs),
+terms AS (SELECT DISTINCT r, a, unnest(list_slice(ws, a + 1, a + 64)) AS term FROM pass),
+hits AS (SELECT r, a, i, sum(x) AS score FROM terms JOIN rel ON rel.term = terms.term GROUP BY ALL HAVING sum(x) >= 1 - 1e-9),
+marks AS (SELECT i, n, p, {words_mark} AS before FROM (SELECT i, n, text, unnest(range(1, length(text))) AS p FROM known) WHERE regexp_matches(substr(text, p, 2), '^[.!?:][\s\x0B\x1C-\x1F\x{{85}}\x{{A0}}]$')),
+cuts AS (SELECT i, max_by(before, p) AS cut FROM marks WHERE n - before >= 3 AND before > 0 GROUP BY i),
+parts AS (SELECT k.i, item_id, n, ws, coalesce(cut, CASE WHEN n > 1 THEN greatest(1, n - greatest(1, n // 4)) ELSE 0 END) AS cut FROM known k LEFT JOIN cuts ON cuts.i = k.i),
+sides AS (SELECT i, item_id, n, {shingles_q} AS q, CASE WHEN n - cut >= 3 THEN {shingles_a} ELSE list_distinct(list_slice(ws, cut + 1, n)) END AS a FROM parts),
+near AS (SELECT h.r, h.i, p.doc_id, s.item_id, score, q, s.a AS ans, list_slice(ws, greatest(0, h.a - s.n) + 1, least(p.n, least(p.n, h.a + 64) + s.n)) AS ws FROM hits h JOIN pass p ON p.r = h.r AND p.a = h.a JOIN sides s ON s.i = h.i),
+either AS (SELECT * EXCLUDE ws, list_concat(ws, {shingles_n}) AS e FROM near),
+share AS (SELECT r, i, doc_id, item_id, score, CASE WHEN len(q) = 0 THEN 1e0 ELSE len(list_filter(q, lambda x: list_contains(e, x))) / len(q) END AS q, CASE WHEN len(ans) = 0 THEN 1e0 ELSE len(list_filter(ans, lambda x: list_contains(e, x))) / len(ans) END AS a FROM either),
+best AS (SELECT * FROM share WHERE q >= 0.7 AND a >= 0.6 QUALIFY row_number() OVER (PARTITION BY r, i ORDER BY score DESC, q DESC, a DESC) = 1)
+SELECT doc_id, item_id, max(round(score, 6)) AS score, max(round(q, 6)) AS question_overlap, max(round(a, 6)) AS answer_overlap FROM best GROUP BY doc_id, item_id
+"""
+
+
+def _oracle() -> str:
+    """_SQL with words folded as fold does, and shingles as sets of three words joined by spaces."""
+    upper = "".join(map(chr, [*range(65, 91), *(c for c in range(0xC0, 0xDF) if c != 0xD7)]))
+    lower = "".join(chr(ord(c) + 32) for c in upper)
+    words = lambda t: rf"regexp_extract_all(regexp_replace(translate({t}, '{upper}', '{lower}'), '[!-/:-@\[-`{{-~]', ' ', 'g'), '[^\x20\x09-\x0D]+')"
+    shingles = lambda low, high: f"list_distinct(list_transform(range(CAST({low} AS BIGINT), CAST({high} AS BIGINT)), lambda j: ws[j] || ' ' || ws[j + 1] || ' ' || ws[j + 2]))"
+    return _SQL.format(words_text=words("text"), words_mark=f"len({words('substr(text, 1, p + 1)')})", shingles_q=shingles("1", "cut - 1"), shingles_a=shingles("cut + 1", "n - 1"), shingles_n=shingles("1", "len(ws) - 1"))
+
+
+ORACLE = _oracle()
