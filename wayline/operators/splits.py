@@ -24,7 +24,7 @@ def nearest_subset(hours: dict[str, float], share: float, within: tuple[float, f
     return min(fit, default=(0, ()))[1]
 
 
-def assign(sessions: DataFrame, share: float = 0.2, within: tuple[float, float] = (0.1, 0.35), validation: float = 0.15, seed: int = 26168) -> DataFrame:
+def assign(sessions: DataFrame, share: float = 0.2, within: tuple[float, float] = (0.1, 0.35), validation: float = 0.15, seed: int = 20250) -> DataFrame:
     """sessions (session_id, driver, drive_id, hours) with their split.
 
     The test split holds whole drivers: the subset whose hours are nearest to the

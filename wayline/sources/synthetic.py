@@ -17,7 +17,7 @@ SCHEMA = "session_id long, t double, acc_x double, acc_y double, acc_z double, g
 RATE = 10
 
 
-def drive(session_id: int, seconds: int, noise: float = 0.05, dropout: float = 0.1, seed: int = 26168, accel_bias: float = 0.0, gyro_bias: float = 0.0, mount_yaw: float = 0.0, delay: float = 0.0, weave: float = 0.0) -> pd.DataFrame:
+def drive(session_id: int, seconds: int, noise: float = 0.05, dropout: float = 0.1, seed: int = 20250, accel_bias: float = 0.0, gyro_bias: float = 0.0, mount_yaw: float = 0.0, delay: float = 0.0, weave: float = 0.0) -> pd.DataFrame:
     """RATE samples a second; a fix a second, known delay seconds after its time; weave: seconds of a wave of its turn rate."""
     r = np.random.default_rng([seed, session_id])
     n = seconds * RATE
@@ -56,7 +56,7 @@ def drive(session_id: int, seconds: int, noise: float = 0.05, dropout: float = 0
     )
 
 
-def fleet(spark: SparkSession, sessions: int, seconds: int = 60, noise: float = 0.05, dropout: float = 0.1, seed: int = 26168) -> DataFrame:
+def fleet(spark: SparkSession, sessions: int, seconds: int = 60, noise: float = 0.05, dropout: float = 0.1, seed: int = 20250) -> DataFrame:
     """Drives of many sessions, each made where its task runs; the same for the same seed. A fix that is not there is null."""
 
     def run(parts):
