@@ -37,6 +37,49 @@ def test_free_inertial_follows_the_ellipsoid():
         State(0.0, np.array([0.0, np.nan, 0.0]), np.zeros(3), np.eye(3))
 
 
+def states(n):
+    """Places up to the date line, some at rest; velocities, attitudes, forces and rates, some of them nought."""
+    r = np.random.default_rng(n)
+    place = np.stack([r.uniform(-math.pi, math.pi, n), r.uniform(-1.4, 1.4, n), r.uniform(-100, 9000, n)], -1)
+    place[0, 0] = math.pi - 1e-9
+    velocity, force, rate = r.normal(0, 20, (n, 3)), r.normal(0, 9, (n, 3)), r.normal(0, 0.5, (n, 3))
+    velocity[0], velocity[1::3], rate[2::3] = (50, 0, 0), 0, 0
+    return place, velocity, np.array([earth.rotation(v) for v in r.normal(size=(n, 3))]), force, rate
+
+
+@pytest.mark.parametrize("n", [1, 3, 40])
+def test_many_states_are_carried_as_each_alone(n):
+    place, velocity, attitude, force, rate = states(n)
+    many = State(0.0, place, velocity, attitude)
+    for _ in range(3):
+        many = carried(many, force, rate, 0.5)
+    for k in range(n):
+        one = State(0.0, place[k], velocity[k], attitude[k])
+        for _ in range(3):
+            one = carried(one, force[k], rate[k], 0.5)
+        assert np.abs(earth.apart(many.place[k], one.place)).max() < 1e-6 and abs(many.place[k, 0] - one.place[0]) < 1e-12
+        assert np.allclose(many.velocity[k], one.velocity, rtol=1e-12, atol=1e-10) and np.allclose(many.attitude[k], one.attitude, rtol=0, atol=1e-12)
+    assert (carried(many, np.zeros(3), np.zeros(3), 0.5).place == carried(many, np.zeros((n, 3)), np.zeros((n, 3)), 0.5).place).all()
+    assert many.place[0, 0] < 0  # over the date line
+    place[n - 1, 2] = np.inf
+    with pytest.raises(ValueError):
+        State(0.0, place, velocity, attitude)
+    attitude[n - 1] *= 1.1
+    with pytest.raises(ValueError):
+        State(0.0, states(n)[0], velocity, attitude)
+
+
+@pytest.mark.parametrize("name", ["rest_stays"])
+def test_cases_in_blocks_are_all_there(spark, name):
+    """Blocks that are full, not full and of one row: each customer once, and what the query states holds."""
+    from wayline.plans import catalog
+
+    d = "/root/testdata/sf0.01"
+    got = catalog.queries()[name](spark, d).collect()
+    keys = sorted(r.c_custkey for r in spark.read.parquet(f"{d}/customer.parquet").collect())
+    assert sorted(r[0] for r in got) == keys and len(keys) > 1024 and all(all(r[1:]) for r in got)
+
+
 def test_engine_finds_the_heading_of_a_turned_phone():
     d = synthetic.drive(5, 135, mount_yaw=2.0, accel_bias=0.02, gyro_bias=0.001, delay=0.5)
     e = Engine()
