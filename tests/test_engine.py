@@ -69,7 +69,28 @@ def test_many_states_are_carried_as_each_alone(n):
         State(0.0, states(n)[0], velocity, attitude)
 
 
-@pytest.mark.parametrize("name", ["rest_stays"])
+@pytest.mark.parametrize("measured", [(True, True, True), (False, True, False), (False, False, True)])
+def test_many_filters_propagate_as_each_alone(measured):
+    place, velocity, attitude, force, rate = states(9)
+    start = lambda k: Filter.start(0.0, place[k], velocity[k], attitude[k], Noise(), 5.0, 0.3)
+    many = start(slice(None))
+    many.accel_bias, many.gyro_bias = force / 100, rate / 100
+    for _ in range(4):
+        many.propagate(Sample(0.0, force, rate, measured), 0.1)
+    for k in range(9):
+        one = start(k)
+        one.accel_bias, one.gyro_bias = force[k] / 100, rate[k] / 100
+        for _ in range(4):
+            one.propagate(Sample(0.0, force[k], rate[k], measured), 0.1)
+        assert np.abs(earth.apart(many.state.place[k], one.state.place)).max() < 1e-6 and np.allclose(many.state.velocity[k], one.state.velocity, rtol=1e-12, atol=1e-10)
+        assert np.allclose(many.state.attitude[k], one.state.attitude, rtol=0, atol=1e-12)
+        assert np.allclose(many.covariance[k], one.covariance, rtol=1e-9, atol=1e-15)
+    many.covariance[5, 3, 3] = -1.0
+    with pytest.raises(CovarianceError):
+        many.propagate(Sample(0.0, force, rate, measured), 0.1)
+
+
+@pytest.mark.parametrize("name", ["rest_stays", "unmeasured_axes"])
 def test_cases_in_blocks_are_all_there(spark, name):
     """Blocks that are full, not full and of one row: each customer once, and what the query states holds."""
     from wayline.plans import catalog

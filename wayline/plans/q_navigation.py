@@ -254,14 +254,14 @@ def unmeasured_axes(spark, d):
     """Axes without a gyro turn with the local level, and their bias stays at its prior, apart from all other errors."""
 
     def make(r):
-        f = _filter(r)
+        f = Filter.start(0.0, earth.vector(r["lon"], r["lat"], r["h"]), earth.vector(r["ve"], r["vn"], 0.0), np.eye(3), _STATE, 5.0, 0.3)
         for _ in range(5):
             f.propagate(Sample(0.0, -earth.gravity(r["lat"], r["h"]), np.array([9.0, 9.0, 0.0]), (False, False, True)), 0.1)
-        rest = np.delete(f.covariance[12], 12)
-        up = f.state.attitude[:, 2]
-        return bool(abs(rest).max() == 0 and math.isclose(f.covariance[12, 12], _STATE.gyro_bias**2)) and ACC.start == 9, bool(up[2] > 1 - 1e-9)
+        bias = f.covariance[:, 12]
+        apart = (np.delete(bias, 12, axis=1) == 0).all(1) & np.isclose(bias[:, 12], _STATE.gyro_bias**2, rtol=1e-9, atol=0)
+        return apart & (ACC.start == 9), f.state.attitude[:, 2, 2] > 1 - 1e-9
 
-    return _through(spark, d, make, "apart boolean, level boolean")
+    return _together(spark, d, ["lat", "lon", "h", "ve", "vn"], make, "apart boolean, level boolean")
 
 
 # ------------------------------------------------------------------ sessions of a synthetic fleet
